@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import huffman, packing
 from .common import table, tokenizer_path
 
 BPE = "byte_bpe_50k.json"
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(BPE), end=0, with_ids=False)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BPE), window=1024, end=0, with_ids=False)
 
 
 QUERIES = {
+    "op7_token_files": op7_token_files,
     "op10_packing": op10_packing,
 }
 
