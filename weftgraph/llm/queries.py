@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing
+from . import huffman, packing, pieces, toxicity
 from .common import table, tokenizer_path
 
 BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(BPE), end=0, with_ids=False)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(PIECES), end=2, with_ids=False)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(BPE), window=1024, end=0, with_ids=False)
 
 
 QUERIES = {
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
+    "op9_pieces": op9_pieces,
     "op10_packing": op10_packing,
 }
 
