@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing, pieces, toxicity
+from . import huffman, packing, pieces, quality, toxicity
 from .common import table, tokenizer_path
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(BPE), end=0, with_ids=False)
 
@@ -28,6 +32,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_pieces": op9_pieces,
