@@ -4,17 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, packing, pieces, quality, toxicity
+from . import chat, huffman, lines, packing, pieces, quality, shingles, sketches, toxicity
 from .common import table, tokenizer_path
 
 BPE = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"), min_words=50)
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingles.groups(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(BPE), end=0, with_ids=False)
 
@@ -32,11 +48,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_chat": op2_chat,
     "op3_quality": op3_quality,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_fingerprints": op5_fingerprints,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_pieces": op9_pieces,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_chat": chat.ORACLE_SQL}
