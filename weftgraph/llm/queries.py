@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, huffman, lines, packing, pieces, quality, shingles, sketches, toxicity
+from . import chat, huffman, lines, packing, pieces, quality, shingles, sketches, toxicity, trie
 from .common import table, tokenizer_path
 
 BPE = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.compare_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.train_and_score(table(spark, sf_dir, "documents"), parts=7, held=2)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path(BPE), end=0, with_ids=False)
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_fingerprints": op5_fingerprints,
+    "op6_language_model": op6_language_model,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_pieces": op9_pieces,
