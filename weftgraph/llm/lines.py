@@ -128,4 +128,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def keep(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents, all columns as they are, with the copies gone from their texts."""
     left = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__runs")))
-    return _joined(docs, min_words).withColumn("text", left).select(*docs.columns)
+    out = _joined(docs, min_words)
+    if "n_chars" in docs.columns:  # it counts the text's characters
+        n_chars = F.when(F.col("__runs").isNull(), F.col("n_chars")).otherwise(F.char_length(left).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", n_chars)
+    return out.withColumn("text", left).select(*docs.columns)
