@@ -87,9 +87,10 @@ def _hop(found: list[tuple[EdgeTable, bool]], rel: Rel, var: str, as_text: tuple
         a, b = e.end(e.src, e.source, as_text[turned]), e.end(e.dst, e.target, as_text[not turned])
         names = e.props or tuple(c for c in e.df.columns)
         key = F.concat_ws(":", F.lit(e.type), *(F.col(c).cast("string") for c in e.identity))
-        df = e.df.select(key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), (b if turned else a).alias(f"{var}.__left"), (a if turned else b).alias(f"{var}.__right"), *(F.col(c).alias(f"{var}.{c}") for c in names))
+        stored = e.df
         if turned and loops_once and e.source == e.target:
-            df = df.filter(p(f"{var}.__left") != p(f"{var}.__right"))
+            stored = stored.filter(reduce(lambda x, y: x | y, [F.col(i) != F.col(j) for i, j in zip(e.src, e.dst)]))
+        df = stored.select(key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), (b if turned else a).alias(f"{var}.__left"), (a if turned else b).alias(f"{var}.__right"), *(F.col(c).alias(f"{var}.{c}") for c in names))
         frames.append(_with_props(df, var, rel.props))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -142,7 +143,7 @@ def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset())
         found = _candidates(graph, r, may[k], may[k + 1])
         if not found:
             raise ValueError(f"no relationship fits {'|'.join(r.types) or 'any type'}")
-        hop = _hop(found, r, var, (as_text[k], as_text[k + 1]), once=unlabelled, loops_once=free)
+        hop = _hop(found, r, var, (as_text[k], as_text[k + 1]), once=unlabelled, loops_once=free and r.direction == "both")
         if df is None:
             df = hop
             if needed(0):

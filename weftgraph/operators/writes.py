@@ -80,10 +80,10 @@ class Store:
         return made
 
     def _fixed(self, made: DataFrame) -> DataFrame:
-        context = self.spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{self.folder}/.checkpoints")
-        return made.checkpoint(eager=True)
+        """The same rows as a written table beside the records, so that later plans neither grow nor compute them anew."""
+        path = f"{self.folder}/.pending/{uuid.uuid4().hex}"
+        made.write.parquet(path)
+        return self.spark.read.schema(made.schema).parquet(path)
 
     # -- statements
 

@@ -17,7 +17,7 @@ VERSION = ["kind", "id", "property", "updated_at", "counter", "writer", "tombsto
 
 def lines(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """path, line of the complete lines, and the torn last lines. Bundles are small by construction, so a file is one row."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(list(paths)).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("path"), "value")
     parts = files.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"), (F.size(F.split("value", "\n")) - 1).alias("last"))
     whole = parts.filter((F.col("at") < F.col("last")) & (F.trim("line") != "")).select("path", "line")
     torn = parts.filter((F.col("at") == F.col("last")) & (F.col("line") != "")).select("path", "line")
