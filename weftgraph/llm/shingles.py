@@ -6,8 +6,8 @@ with Jaccard t shares one of them. The product of this part with its transpose i
 block, adding up each pair's shared columns, and a pair goes on only if shared + the larger rest reaches
 ceil(t / (1 + t) * (size + size)), below which no overlap can give t. What is left is verified on the whole sets.
 
-Equal sets are one row (so copies are no pairs). A first product links each column's rows with the column's first row only; the
-second takes all pairs of rows that are not yet in one group, so groups of many near copies cost no square, and no
+Equal sets are one row (so copies are no pairs). A first product pairs each row with the first row of its columns that shares most
+with it; the second takes all pairs of rows that are not yet in one group, so groups of many near copies cost no square, and no
 link between groups is lost. Work on a column streams over sorted rows.
 
 Which columns are frequent is counted over all documents (each task reports what it has seen LOCAL times or more); the
@@ -21,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from .common import small_batches, stored
 
 LOCAL = 4
 HOT = 1 << 16
+BITMAP = 1 << 25
 WORDS, PERCENT = 5, 80
 
 
@@ -55,7 +57,7 @@ def shingle_sets(texts: list[str | None], n: int, hashes: dict) -> tuple[np.ndar
     """The distinct shingle hashes of all texts, sorted within each text, and how many each text has."""
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: ASCII letters and white space only
     sizes = np.array([len(w) for w in split], np.int64)
-    word = np.fromiter((hashes[w] for s in split for w in s), np.uint64, int(sizes.sum()))
+    word = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(sizes.sum()))
     text = np.repeat(np.arange(len(texts)), sizes)
     many = max(0, len(word) - n + 1)
     value = np.zeros(many, np.uint64)
@@ -151,7 +153,8 @@ def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
         """Of one column: its rows, in order of size."""
         if not all_pairs:
             first = int(np.argmin(key))
-            others = np.flatnonzero((np.arange(len(key)) != first) & (part != part[first]))
+            near = 100 * np.minimum(size, size[first]) >= percent * np.maximum(size, size[first])
+            others = np.flatnonzero(near & (np.arange(len(key)) != first) & (part != part[first]))
             yield key[others], key[np.full(len(others), first)], size[others], size[np.full(len(others), first)]
             return
         if (part == part[0]).all():
@@ -215,7 +218,10 @@ def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     counted = dealt.mapInArrow(run, "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
     rest = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1
     need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
-    return counted.filter(F.col("n") + rest >= need).select("a", "b")
+    enough = counted.filter(F.col("n") + rest >= need)
+    if all_pairs:
+        return enough.select("a", "b")
+    return enough.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -223,24 +229,47 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """BITMAP bits, whatever the number of keys: those of the keys are set. It spares rows that are not asked for; others still get through."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for places in b.column(1).to_pylist():
+                bits = np.zeros(1 << 16, np.uint8)
+                bits[places] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["part", "bits"])
+
+    place = F.pmod(F.col("key"), F.lit(BITMAP)).cast("int")
+    parts = keys.select(F.shiftright(place, 16).alias("part"), place.bitwiseAND(F.lit(0xFFFF)).alias("at")).groupBy("part").agg(F.collect_set("at").alias("at"))
+    whole = np.zeros(BITMAP // 8, np.uint8)
+    for r in parts.mapInArrow(packed, "part int, bits binary").collect():
+        whole[r.part * 8192 : (r.part + 1) * 8192] = np.frombuffer(r.bits, np.uint8)
+    return whole
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs those whose whole sets reach the threshold."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    one = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id"))).select("key", "text")
+    bitmap = _bitmap(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes, seen = _Hashes(), set()
         for b in batches:
-            value, counts = shingle_sets(b.column(1).to_pylist(), n, hashes)
-            ends = np.cumsum(counts)
-            own = _key(value, counts) == b.column(0).to_numpy()  # else another row with the same doc_id
-            data = [value[e - c : e].tobytes() for e, c, keep in zip(ends.tolist(), counts.tolist(), own.tolist()) if keep]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(own)), pa.array(data, pa.binary())], ["key", "items"])
-
-    found = stored(texts.mapInArrow(sets, "key long, items binary").dropDuplicates(["key"]))
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+            value, counts = shingle_sets(b.column(0).to_pylist(), n, hashes)
+            ends, keys = np.cumsum(counts), _key(value, counts)
+            place = np.mod(keys, BITMAP)
+            asked = np.flatnonzero((counts > 0) & ((bitmap[place >> 3] >> (7 - (place & 7)) & 1) > 0))
+            rows = []
+            for k in asked.tolist():
+                if (key := int(keys[k])) not in seen:  # of equal sets a task sends one
+                    seen.add(key)
+                    rows.append((key, value[ends[k] - counts[k] : ends[k]].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["key", "items"])
+
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(sets, "key long, items binary").repartition("key").dropDuplicates(["key"])
+    both = pairs.join(found.select(F.col("key").alias("b"), F.col("items").alias("y")), "b").join(found.select(F.col("key").alias("a"), F.col("items").alias("x")), "a")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -277,12 +306,12 @@ def groups(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame
     members = stored(_prefixes(docs, n, percent))
     sets = members.filter("size > 0").groupBy("key", "size").agg(F.first("cols").alias("cols"))
     first = stored(_products(sets.withColumn("part", F.col("key")), percent, all_pairs=False))
-    edges = stored(_verified(first, members, docs, n, percent))
+    edges = stored(_verified(first, docs, n, percent))
     roots = components(edges)
     parted = sets.join(roots, "key", "left").select("key", "size", F.coalesce("root", "key").alias("part"), "cols")
     second = stored(_products(parted, percent, all_pairs=True))
     if second.limit(1).count():
-        edges = stored(edges.union(_verified(second, members, docs, n, percent)).distinct())
+        edges = stored(edges.union(_verified(second, docs, n, percent)).distinct())
         roots = components(edges)
     rooted = members.select("doc_id", "size", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rooted.filter("size > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
