@@ -29,6 +29,7 @@ from .common import fold, small_batches
 SAMPLE = 20_000
 FEATURES = 4096
 BUCKETS = 1 << 18
+RIDGE = 0.3  # of a single row; the penalty falls as rows come in
 PREFIXES = (3, 4, 5, 6, 7)
 #: Groups of terms that may stand for each other in a sentence.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
@@ -114,7 +115,7 @@ class Model:
         return docs.mapInArrow(run, docs.schema)
 
 
-def minimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], n: int, strength: float, ridge: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float]:
+def minimise(rows: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], n: int, strength: float, ridge: float, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of least mean log loss + ridge |w|^2 + strength * mean squared change by swaps (full-batch Adam)."""
     flat = np.concatenate(rows).astype(np.int64) if rows else np.empty(0, np.int64)
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -169,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
             return Model([], np.empty(0), 500.0 if sums and sums.a else -500.0)
         c, d = F.lit(float(sums.a)) - F.col("a"), F.lit(float(sums.b)) - F.col("b")
         chi = F.pow(F.col("a") * d - F.col("b") * c, F.lit(2.0)) / ((F.col("a") + F.col("b")).cast("double") * (c + d) + 1e-9)
-        best = counts.filter((F.col("feature") < BUCKETS) & (F.col("a") + F.col("b") >= 3)).orderBy(chi.desc(), "feature").limit(features)
+        best = counts.filter((F.col("feature") < BUCKETS) & (F.col("a") + F.col("b") >= 3)).orderBy(chi.desc(), "feature").limit(min(features, max(64, int(sums.a + sums.b) // 4)))  # few rows tell few features
         wanted = sorted(r.feature for r in best.select("feature").collect())
     finally:
         counts.unpersist()
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
 
     got = sorted((r.toxic, r.own, r.swapped) for r in rows.mapInArrow(select, "toxic int, own array<int>, swapped array<array<int>>").collect())  # at most 2 * sample rows
     swaps = [(k, np.array(s, np.int64)) for k, (_, _, swapped) in enumerate(got) for s in swapped]
-    weights, intercept = minimise([np.array(own, np.int64) for _, own, _ in got], np.array([t for t, _, _ in got], float), swaps, len(wanted), strength)
+    weights, intercept = minimise([np.array(own, np.int64) for _, own, _ in got], np.array([t for t, _, _ in got], float), swaps, len(wanted), strength, RIDGE / len(got))
     return Model(wanted, weights, intercept)
 
 
