@@ -78,8 +78,8 @@ def _candidates(graph: Graph, rel: Rel, left: set[str], right: set[str]) -> list
     return found
 
 
-def _hop(found: list[tuple[EdgeTable, bool]], rel: Rel, var: str, as_text: tuple[bool, bool], once: bool, loops_once: bool) -> DataFrame:
-    """The edges of a hop: var.id, var.type, properties, and the ids at its left and right."""
+def _hop(found: list[tuple[EdgeTable, bool]], rel: Rel, var: str, as_text: tuple[bool, bool], once: bool, loops_once: bool, carried: dict[str, dict[str, Any]]) -> DataFrame:
+    """The edges of a hop: var.id, var.type, properties, and the ids at its left and right. carried: a node in whose table the edges are, with its property map."""
     frames = []
     for e, turned in found:
         if turned and once:
@@ -90,11 +90,31 @@ def _hop(found: list[tuple[EdgeTable, bool]], rel: Rel, var: str, as_text: tuple
         stored = e.df
         if turned and loops_once and e.source == e.target:
             stored = stored.filter(reduce(lambda x, y: x | y, [F.col(i) != F.col(j) for i, j in zip(e.src, e.dst)]))
-        df = stored.select(key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), (b if turned else a).alias(f"{var}.__left"), (a if turned else b).alias(f"{var}.__right"), *(F.col(c).alias(f"{var}.{c}") for c in names))
+        df = stored.select(key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), (b if turned else a).alias(f"{var}.__left"), (a if turned else b).alias(f"{var}.__right"), *(F.col(c).alias(f"{var}.{c}") for c in names), *(F.col(c).alias(f"{n}.{c}") for n in carried for c in e.df.columns))
+        df = df.filter(p(f"{var}.__left").isNotNull() & p(f"{var}.__right").isNotNull()) if carried else df
+        for n, wanted in carried.items():
+            df = _with_props(df, n, wanted)
         frames.append(_with_props(df, var, rel.props))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _owned(graph: Graph, e: EdgeTable, turned: bool, left: bool) -> bool:
+    """Whether the edges are rows of the table of the node at this side, under its key."""
+    at_source = left != turned
+    table = graph.nodes[e.source if at_source else e.target]
+    return table.df is e.df and table.key == (e.src if at_source else e.dst)
+
+
+def _from_left(df: DataFrame, e: EdgeTable, rel: Rel, var: str, left: str, right_key: tuple[str, ...]) -> DataFrame:
+    """A hop whose columns the node at its left has already."""
+    of = lambda c: p(f"{left}.{c}")
+    right = of(right_key[0]) if len(right_key) == 1 else F.struct(*(of(c).alias(f"k{i}") for i, c in enumerate(right_key)))
+    names = e.props or tuple(e.df.columns)
+    key = F.concat_ws(":", F.lit(e.type), *(of(c).cast("string") for c in e.identity))
+    df = df.select("*", key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), right.alias(f"{var}.__right"), *(of(c).alias(f"{var}.{c}") for c in names))
+    return _with_props(df.filter(p(f"{var}.__right").isNotNull()), var, rel.props)
+
+
 def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset()) -> DataFrame:
     """All matches of a path. bound: variables that rows already have, which decides how undirected relationships are read."""
     nodes, rels = path[::2], path[1::2]
@@ -137,29 +157,45 @@ def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset())
     unlabelled = free and not any(n.labels for n in nodes)
     if not rels:
         return ends(0)
-    df, placed = None, {}
+    df, placed = None, set()
     for k, r in enumerate(rels):
-        var = r.var or f"__r{k}"
+        var, a, b = r.var or f"__r{k}", names[k], names[k + 1]
         found = _candidates(graph, r, may[k], may[k + 1])
         if not found:
             raise ValueError(f"no relationship fits {'|'.join(r.types) or 'any type'}")
-        hop = _hop(found, r, var, (as_text[k], as_text[k + 1]), once=unlabelled, loops_once=free and r.direction == "both")
-        if df is None:
-            df = hop
-            if needed(0):
-                df = ends(0).join(df, p(f"{names[0]}.id") == p(f"{var}.__left"))
-            else:
-                df = df.withColumn(f"{names[0]}.id", p(f"{var}.__left"))
-            placed[names[0]] = True
+        # a foreign key: the relationship is a row of one end's own table, which needs no join with it
+        single = found[0] if len(found) == 1 and not (as_text[k] or as_text[k + 1]) else None
+        at_left = single is not None and _owned(graph, *single, left=True)
+        at_right = single is not None and _owned(graph, *single, left=False) and b not in placed and needed(k + 1)
+        right_key = single and (single[0].src if single[1] else single[0].dst)
+        if df is not None and at_left and all(f"{a}.{c}" in df.columns for c in single[0].df.columns):
+            df = _from_left(df, single[0], r, var, a, right_key)
+            at_right = False
         else:
-            df = df.join(hop, p(f"{names[k]}.id") == p(f"{var}.__left"))
-        if names[k + 1] in placed:
-            df = df.filter(p(f"{names[k + 1]}.id") == p(f"{var}.__right"))
+            take_left = df is None and at_left and needed(0)
+            carried = {a: nodes[k].props} if take_left else {b: nodes[k + 1].props} if at_right else {}
+            hop = _hop(found, r, var, (as_text[k], as_text[k + 1]), once=unlabelled, loops_once=free and r.direction == "both", carried=carried)
+            at_right = at_right and not take_left
+            if df is not None:
+                df = df.join(hop, p(f"{a}.id") == p(f"{var}.__left"))
+            elif needed(0) and not take_left:
+                df = ends(0).join(hop, p(f"{a}.id") == p(f"{var}.__left"))
+            else:
+                df = hop
+                if not take_left:
+                    df = df.withColumn(f"{a}.id", p(f"{var}.__left"))
+            if take_left:
+                df = df.withColumn(f"{a}.id", p(f"{var}.__left")).withColumn(f"{a}.label", F.lit(min(may[0])))
+        placed.add(a)
+        if b in placed:
+            df = df.filter(p(f"{b}.id") == p(f"{var}.__right"))
+        elif at_right:
+            df = df.withColumn(f"{b}.id", p(f"{var}.__right")).withColumn(f"{b}.label", F.lit(min(may[k + 1])))
         elif needed(k + 1):
-            df = df.join(ends(k + 1), p(f"{var}.__right") == p(f"{names[k + 1]}.id"))
+            df = df.join(ends(k + 1), p(f"{var}.__right") == p(f"{b}.id"))
         else:
-            df = df.withColumn(f"{names[k + 1]}.id", p(f"{var}.__right"))
-        placed[names[k + 1]] = True
+            df = df.filter(p(f"{var}.__right").isNotNull()).withColumn(f"{b}.id", p(f"{var}.__right"))
+        placed.add(b)
         df = df.drop(f"{var}.__left", f"{var}.__right")
     hidden = [c for c in df.columns if c.startswith("__")]
     return df.select(*(p(c) for c in df.columns if c not in hidden))

@@ -28,8 +28,12 @@ LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """All labels and relationship types over the tables of a folder; nothing is read before a query asks for it."""
 
-    def t(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    known: dict[str, DataFrame] = {}
+
+    def t(name: str) -> DataFrame:  # the same object each time: foreign keys are found by it
+        if name not in known:
+            known[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return known[name]
 
     g = Graph()
     for label, (name, key) in LABELS.items():
@@ -44,7 +48,7 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
     g.add_edges("CONTAINS", t("lineitem"), "Purchase", "Part", "l_orderkey", "l_partkey", LINE)
     g.add_edges("SUPPLIED", t("lineitem"), "Supplier", "Part", "l_suppkey", "l_partkey", LINE)
     g.add_edges("DID", t("events"), "User", "Event", "user_id", "event_id", props=("ts",))
-    g.add_edges("LABELLED", t("labels").select("doc_id"), "Document", "DocLabel", "doc_id", "doc_id")
+    g.add_edges("LABELLED", t("labels"), "Document", "DocLabel", "doc_id", "doc_id")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("turn").alias("next_turn"))
     following = turns.select("conv_id", "turn").join(after, ["conv_id", "turn"]).select("conv_id", "turn", "next_turn")
     g.add_edges("NEXT", following, "Turn", "Turn", ("conv_id", "turn"), ("conv_id", "next_turn"))
