@@ -7,8 +7,8 @@ block, adding up each pair's shared columns, and a pair goes on only if shared +
 ceil(t / (1 + t) * (size + size)), below which no overlap can give t. What is left is verified on the whole sets.
 
 Equal sets are one row (so copies are no pairs). A first product pairs each row with the first row of its columns that shares most
-with it; the second takes all pairs of rows that are not yet in one group, so groups of many near copies cost no square, and no
-link between groups is lost. Work on a column streams over sorted rows.
+with it; the second takes all pairs of rows that are not yet in one group and whose column stands early enough in both for the
+overlap still to come, which drops most pairs of near copies that differ too much; no link between groups is lost. Work on a column streams over sorted rows.
 
 Which columns are frequent is counted over all documents (each task reports what it has seen LOCAL times or more); the
 broadcast table has HOT columns at most. The order only decides speed; any order gives the same links.
@@ -149,8 +149,8 @@ def _least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
     """Pairs a < b of keys whose shared deciding columns are enough, from rows (key, size, part, cols); part: a group already linked."""
 
-    def pairs_of(key: np.ndarray, size: np.ndarray, part: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Of one column: its rows, in order of size."""
+    def pairs_of(key: np.ndarray, size: np.ndarray, part: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of one column: its rows, in order of size, and the column's place in each."""
         if not all_pairs:
             first = int(np.argmin(key))
             near = 100 * np.minimum(size, size[first]) >= percent * np.maximum(size, size[first])
@@ -160,11 +160,14 @@ def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
         if (part == part[0]).all():
             return
         ends = np.searchsorted(size, size * 100 // percent, "right")  # larger ones have too small a Jaccard coefficient
+        left = size - pos
         for i in range(len(key) - 1):
-            other = np.arange(i + 1, ends[i])
-            other = other[part[other] != part[i]]
-            if len(other):
-                yield np.full(len(other), key[i]), key[other], np.full(len(other), size[i]), size[other]
+            other = slice(i + 1, ends[i])
+            # at the first column that a linked pair shares, all of the overlap is still to come in both rows
+            need = _least_overlap(size[i], size[other], percent)
+            found = i + 1 + np.flatnonzero((part[other] != part[i]) & (left[other] >= need) & (left[i] >= need))
+            if len(found):
+                yield np.full(len(found), key[i]), key[found], np.full(len(found), size[i]), size[found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -186,12 +189,12 @@ def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
         def runs(last: bool) -> Iterator[tuple[np.ndarray, ...]]:
             """The finished columns with two rows or more; what may go on is held."""
             nonlocal held
-            col, key, size, part = held
+            col, key, size, part, pos = held
             edge = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
             ends = np.append(edge[1:], len(col))
             for s, e in zip(edge.tolist(), ends.tolist()):
                 if e - s > 1 and (last or e < len(col)):
-                    yield key[s:e], size[s:e], part[s:e]
+                    yield key[s:e], size[s:e], part[s:e], pos[s:e]
             held = [x[edge[-1] :] for x in held]
 
         for b in _with_end(batches):
@@ -202,8 +205,8 @@ def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
                 held = [np.concatenate([x, y]) for x, y in zip(held, new)] if held else new
             elif not held:
                 break
-            for key, size, part in runs(b is None):
-                for got in pairs_of(key, size, part):
+            for column in runs(b is None):
+                for got in pairs_of(*column):
                     if len(got[0]):
                         found.append(got)
                         many += len(got[0])
@@ -213,9 +216,12 @@ def _products(rows: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
         if found:
             yield report()
 
-    exploded = rows.select(F.explode("cols").alias("col"), "key", "size", "part")
+    exploded = rows.select(F.posexplode("cols").alias("pos", "col"), "key", "size", "part").select("col", "key", "size", "part", F.col("pos").cast("long").alias("pos"))
     dealt = exploded.repartition("col").sortWithinPartitions("col", "size", "key")
     counted = dealt.mapInArrow(run, "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+    if all_pairs:  # not all shared columns have been counted: they are counted from both rows
+        cols = lambda side: rows.select(F.col("key").alias(side), F.col("cols").alias(f"cols_{side}"))
+        counted = counted.join(cols("a"), "a").join(cols("b"), "b").withColumn("n", F.size(F.array_intersect("cols_a", "cols_b")))
     rest = F.ceil(F.greatest("size_a", "size_b") * percent / 100) - 1
     need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent))
     enough = counted.filter(F.col("n") + rest >= need)
