@@ -15,7 +15,7 @@ CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than blank and newline (in any of the usual definitions): such texts are encoded in one piece.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 #: Chunks that a worker remembers; then it forgets those used once.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 class _Index(dict):
