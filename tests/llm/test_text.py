@@ -244,6 +244,48 @@ def test_language_model(docs, texts, odd, nothing, monkeypatch, shard_tokens):
     assert trie.train_and_score(docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2)).filter("score is null or n_known > 0").count() == 0
 
 
+def brute_longer(rows, order):
+    rows = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]
+    grams, n = Counter(), 0
+    for i, w in rows:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            n += 1
+            grams.update(tuple(["^", *w][k - m + 1 : k + 1]) for k in range(len(w) + 1) for m in range(1, min(order, k + 1) + 1))
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1 and g[0] != "^"}
+    total = sum(one.values()) + len(one) + 1
+    p, rest = {}, defaultdict(lambda: 1.0)
+    for g, c in grams.items():
+        if len(g) > 1:
+            step = math.ceil(-math.log10((c - trie.DISCOUNT) / (n if g[:-1] == ("^",) else grams[g[:-1]])) * trie.STEPS)
+            p[g] = 10 ** (-step / trie.STEPS)
+            rest[g[:-1]] -= p[g]
+    for i, w in rows:
+        score, seq = 0.0, ["^", *w]
+        for k in range(1, len(seq)):
+            now = (one.get(seq[k], 0) + 1) / total
+            for m in range(2, min(order, k + 1) + 1):
+                g = tuple(seq[k - m + 1 : k + 1])
+                now = p.get(g, 0.0) + rest[g[:-1]] * now
+            score += math.log10(now)
+        yield -1 if i is None else i, score
+
+
+@pytest.mark.parametrize(("order", "shard_tokens"), [(3, 3000), (3, 2_000_000), (4, 3000)])
+def test_longer_ngrams_and_singletons(docs, odd, nothing, monkeypatch, order, shard_tokens):
+    monkeypatch.setattr(trie.build, "__defaults__", (1, trie.DISCOUNT, shard_tokens))
+    for df in (docs, odd):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in trie.train_and_score(df, order=order).collect())
+        want = sorted(brute_longer([(r.doc_id, r.text) for r in df.collect()], order))
+        assert [g[0] for g in got] == [w[0] for w in want]
+        np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4)
+    assert trie.train_and_score(nothing, order=order).count() == 0
+
+
+def test_every_bigram_is_kept(spark, tmp_path):
+    got = trie.build(spark.createDataFrame([(f"once{k} seen{k}",) for k in range(50)], "text string"), f"file://{tmp_path}/trie", order=3)
+    assert trie.LEAST == 1 and [sum(trie.EliasFano.of(got._file(f"{level}-{s:06d}"), "next").n for s in range(got.shards)) for level in ("pairs", "level3")] == [150, 100]
+
+
 # -- 8: toxicity
 
 

@@ -32,7 +32,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trie.train_and_score(table(spark, sf_dir, "documents"), parts=7, held=2)
+    return trie.train_and_score(table(spark, sf_dir, "documents"), parts=7, held=2, order=3)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

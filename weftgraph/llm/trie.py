@@ -1,14 +1,17 @@
 """Operator 6: language-model scores from a sharded n-gram trie in Elias-Fano coding.
 
-The model is an interpolated bigram model with absolute discounting:
-p(w | v) = max(c(v w) - D, 0) / c(v) + rest(v) * (c(w) + 1) / (N + V + 1), with the bigrams seen `least` times or more, and
-rest(v) such that everything sums to 1. The first token's v is a mark that begins each text.
+The model is an interpolated n-gram model of `order` words with absolute discounting:
+p(w | v) = max(c(v w) - D, 0) / c(v) + rest(v) * (c(w) + 1) / (N + V + 1), with the n-grams seen `least` times or more (once:
+all of them), and rest(v) such that everything sums to 1; with three words p(w | u v) = max(c(u v w) - D, 0) / c(u v) +
+rest(u v) * p(w | v), and so on. The first token's v is a mark that begins each text; nothing is before the mark.
 
 Level 1 of the trie is the vocabulary: the words' 64-bit hashes in order and the running sums of their counts, both monotone
 sequences in Elias-Fano coding, so a word's number is its place and its count is exact. Level 2 holds contexts,
 pointers (monotone) to each context's successors, the successors, made monotone by adding up from context to
 context and searched relative to the context's base, and discounted probabilities in 8 bits, rounded down; rest(v) is
-computed from the rounded ones.
+computed from the rounded ones. Each further level holds, for every n-gram of the level above by its place there, a pointer
+to its successors, those successors and their probabilities in the same coding, and its rest; it is in the shard of the n-gram's
+first two words.
 
 Both levels are cut into shards, whose number follows the number of tokens, by hash range and by context; a context with more
 than a shard's share of the tokens is split by successor. Counts go to their shard as delta-coded blocks, a row
@@ -27,6 +30,7 @@ import mmap
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -39,7 +43,7 @@ from .common import fold, shared_dir, small_batches, stored
 SHARD_TOKENS = 2_000_000
 HELD_BACK = 1_000_000  # tokens that a counting task gathers before it reports
 GATHERED = 400_000  # tokens that a scoring task looks up at a time
-LEAST, DISCOUNT = 2, 0.75
+LEAST, DISCOUNT = 1, 0.75
 SAMPLE = 64  # values between two of those that a search starts from
 STEPS = 255 / 12.0  # 8-bit steps in each power of ten of a probability, down to 1e-12
 END = np.uint64(1)  # hashes of words are above 1
@@ -99,14 +103,17 @@ class EliasFano:
             value |= part & U((1 << self.low_bits) - 1)
         return value
 
-    def find(self, value: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        """Successor search: the place of the first value not below the wanted one, from first up to last (exclusive)."""
-        if self.every is None:
-            self.every = self.get(np.arange(0, self.n, SAMPLE))
-        block = np.searchsorted(self.every, value)
-        low, high = np.maximum(0, (block - 1) * SAMPLE + 1), np.minimum(block * SAMPLE, self.n)
-        if first is not None and last is not None:
-            low, high = np.clip(low, first, last), np.clip(high, first, last)
+    def find(self, value: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None, short: bool = False) -> np.ndarray:
+        """Successor search: the place of the first value not below the wanted one, from first up to last (exclusive); short: these are close, no samples."""
+        if short:
+            low, high = first.copy(), last.copy()
+        else:
+            if self.every is None:
+                self.every = self.get(np.arange(0, self.n, SAMPLE))
+            block = np.searchsorted(self.every, value)
+            low, high = np.maximum(0, (block - 1) * SAMPLE + 1), np.minimum(block * SAMPLE, self.n)
+            if first is not None and last is not None:
+                low, high = np.clip(low, first, last), np.clip(high, first, last)
         while (open_ := low < high).any():
             mid = (low + high) >> 1
             here = np.flatnonzero(open_)
@@ -281,6 +288,7 @@ class Trie:
     def __init__(self, folder: str, shards: int, offsets: np.ndarray, n_tokens: int, n_texts: int) -> None:
         #: offsets: how many words are in the vocabulary shards before each one, and in all.
         self.folder, self.shards, self.offsets, self.n_tokens, self.n_texts = folder, shards, offsets, n_tokens, n_texts
+        self.order = 2
         self.split: dict[int, float] = {}  # rest(v) of contexts that are split over shards
         self.files: _Files | None = None
 
@@ -327,9 +335,9 @@ class Trie:
         part = _mix(word.astype(U)) % self.parts(context_counts).astype(U)
         return ((_mix(context.astype(U) + U(7)) + part) % U(self.shards)).astype(np.int32)
 
-    def pairs(self, context: np.ndarray, word: np.ndarray, context_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """p of the bigram (0 if not kept) and rest of the context, of known words."""
-        p, rest = np.zeros(len(context)), np.ones(len(context))
+    def pairs(self, context: np.ndarray, word: np.ndarray, context_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """p of the bigram (0 if not kept) and rest of the context, of known words; the bigram's shard and its place there (-1 if not kept)."""
+        p, rest, spot = np.zeros(len(context)), np.ones(len(context)), np.full(len(context), -1, np.int64)
         shard = self.pair_shard(context, word, context_counts)
         order = np.argsort(shard, kind="stable")
         edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
@@ -358,10 +366,34 @@ class Trie:
             inside = np.minimum(found, next_.n - 1)
             hit = (found < last) & (next_.get(inside) == base + w + U(1))
             p[mine[hit]] = 10.0 ** (-level["p"][inside[hit]].astype(float) / STEPS)
+            spot[mine[hit]] = inside[hit]
         if self.split:
             many = self.parts(context_counts) > 1
             rest[many] = [self.split.get(v, 1.0) for v in context[many].tolist()]
-        return p, rest
+        return p, rest, shard, spot
+
+    def longer(self, n: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """p of the n-gram (0 if not kept), rest of its context, given by place on level n - 1 of the shard, and the n-gram's place (-1 if not kept)."""
+        p, rest, spot = np.zeros(len(context)), np.ones(len(context)), np.full(len(context), -1, np.int64)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            mine = order[edges[s] : edges[s + 1]]
+            try:
+                level = self._file(f"level{n}-{s:06d}")
+            except FileNotFoundError:  # no n-gram of this shard is kept
+                continue
+            pointers, next_ = (EliasFano.of(level, x) for x in ("pointers", "next"))
+            rest[mine] = level["rest"][context[mine]]
+            first, last = pointers.get(context[mine]).astype(np.int64), pointers.get(context[mine] + 1).astype(np.int64)
+            base = np.where(first > 0, next_.get(np.maximum(first - 1, 0)), U(0))
+            wanted = base + word[mine].astype(U) + U(1)
+            found = next_.find(wanted, first, last, short=True)
+            inside = np.minimum(found, next_.n - 1)
+            hit = (found < last) & (next_.get(inside) == wanted)
+            p[mine[hit]] = 10.0 ** (-level["p"][inside[hit]].astype(float) / STEPS)
+            spot[mine[hit]] = inside[hit]
+        return p, rest, spot
 
 
 def _pair_level(keys: np.ndarray, counts: np.ndarray, n_words: int, context_counts: np.ndarray, contexts: np.ndarray, least: int, discount: float) -> dict[str, np.ndarray] | None:
@@ -392,10 +424,34 @@ def _pair_level(keys: np.ndarray, counts: np.ndarray, n_words: int, context_coun
     }
 
 
-def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS) -> Trie:
-    """The trie of these documents (text), in files under folder."""
+def _longer_level(keys: np.ndarray, counts: np.ndarray, n_words: int, n_contexts: int, least: int, discount: float) -> dict[str, np.ndarray] | None:
+    """The arrays of a shard of a level below 2, from n-grams (the context's place * (n_words + 1) + word). A context is counted by all its successors."""
+    context, word = (keys // U(n_words + 1)).astype(np.int64), keys % U(n_words + 1)
+    p = np.maximum(counts - discount, 1e-300) / np.bincount(context, counts, n_contexts)[context]
+    step = np.minimum(255, np.ceil(-np.log10(p) * STEPS)).astype(np.uint8)
+    kept = (counts >= least) & (step < 255)
+    context, word, step = context[kept], word[kept], step[kept]
+    if not len(step):
+        return None
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    sizes = np.diff(np.append(first, len(step)))
+    last = word[np.append(first[1:], len(step)) - 1] + U(1)
+    base = np.cumsum(last, dtype=U) - last
+    return {
+        **EliasFano.build(np.append(0, np.cumsum(np.bincount(context, minlength=n_contexts)))).arrays("pointers"),
+        **EliasFano.build(word + U(1) + np.repeat(base, sizes)).arrays("next"),
+        "p": step,
+        "rest": np.maximum(1e-9, 1 - np.bincount(context, 10.0 ** (-step.astype(float) / STEPS), n_contexts)).astype(np.float32),
+    }
+
+
+def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DISCOUNT, shard_tokens: int = SHARD_TOKENS, *, order: int = 2) -> Trie:
+    """The trie of these documents (text) with n-grams of up to order words, in files under folder."""
     from pyarrow import fs
 
+    if order < 2:
+        raise ValueError("order is 2 or more")
+
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("text").cast("string").alias("text"))
     system, root = fs.FileSystem.from_uri(folder)
@@ -469,6 +525,28 @@ def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DI
     split = stored(dealt(texts.mapInArrow(count_pairs, "shard int, block binary")).mapInArrow(write_pairs, "context long, p double"))
     # a split context has more than a shard's share of the tokens: fewer than one per shard
     trie.split = {r.context: max(1e-9, 1 - r.p) for r in split.groupBy("context").agg(F.sum("p").alias("p")).collect()}
+
+    def count_longer(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, sizes in gathered(batches, GATHERED):
+            word, context, context_count, _ = trie_numbers(trie, tokens, sizes)
+            for _, _, shard, spot in trie_levels(trie, word, context, context_count, sizes, n - 1):
+                pass
+            at = followed(spot, sizes)
+            if len(at):
+                yield _blocks(spot[at - 1].astype(U) * U(n_words + 1) + word[at].astype(U), shard[at - 1])
+
+    def write_longer(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, blocks in _by_shard(batches):
+            keys, counts = _merged(blocks)
+            above = EliasFano.of(trie._file(f"pairs-{shard:06d}" if n == 3 else f"level{n - 1}-{shard:06d}"), "next").n
+            level = _longer_level(keys, counts, n_words, above, least, discount)
+            if level is not None:
+                _save(folder, f"level{n}-{shard:06d}", level)
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["shard"])
+
+    for n in range(3, order + 1):
+        stored(dealt(texts.mapInArrow(partial(count_longer, n), "shard int, block binary")).mapInArrow(partial(write_longer, n), "shard long"))
+        trie.order = n
     return trie
 
 
@@ -483,6 +561,34 @@ def trie_numbers(trie: Trie, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return word, context, context_count, counts
 
 
+def followed(spot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The tokens whose text's token before ends a kept n-gram."""
+    before = np.append(-1, spot[:-1])
+    before[np.cumsum(sizes) - sizes] = -1
+    return np.flatnonzero(before >= 0)
+
+
+def trie_levels(trie: Trie, word: np.ndarray, context: np.ndarray, context_count: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From level 2 on: of each token, p of the n-gram that ends there, rest of its context, the n-gram's shard and place (-1 if not kept)."""
+    n, width = len(word), trie.n_words + 1
+    p, rest, shard, spot = np.zeros(n), np.ones(n), np.zeros(n, np.int32), np.full(n, -1, np.int64)
+    # the rest of a known context also holds before unknown words, which stand for no successor
+    known = np.flatnonzero(context >= 0)
+    asked = np.where(word >= 0, word, trie.n_words)
+    key, at, back = np.unique(context[known].astype(U) * U(width) + asked[known].astype(U), return_index=True, return_inverse=True)
+    if len(key):
+        got = trie.pairs((key // U(width)).astype(np.int64), (key % U(width)).astype(np.int64), context_count[known][at])
+        p[known], rest[known], shard[known], spot[known] = (x[back] for x in got)
+    yield p, rest, shard, spot
+    for level in range(3, order + 1):
+        at = followed(spot, sizes)
+        p, rest, shard_, spot_ = np.zeros(n), np.ones(n), np.zeros(n, np.int32), np.full(n, -1, np.int64)
+        shard_[at] = shard[at - 1]
+        p[at], rest[at], spot_[at] = trie.longer(level, shard_[at], spot[at - 1], asked[at])
+        shard, spot = shard_, spot_
+        yield p, rest, shard, spot
+
+
 def trie_counts(trie: Trie, numbers: np.ndarray) -> np.ndarray:
     """The counts of words given by number, in order."""
     out = np.full(len(numbers), trie.n_texts, np.int64)
@@ -509,17 +615,12 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             word = context = np.full(len(tokens), -1)
             context_count = counts = np.zeros(len(tokens), np.int64)
         single = (counts + 1) / total
-        p, rest = np.zeros(len(tokens)), np.ones(len(tokens))
-        # the rest of a known context also holds before unknown words, which stand for no successor
-        known = np.flatnonzero(context >= 0)
-        asked = np.where(word[known] >= 0, word[known], n_words)
-        key, at, back = np.unique(context[known].astype(U) * U(n_words + 1) + asked.astype(U), return_index=True, return_inverse=True)
-        if len(key):
-            p_, rest_ = trie.pairs((key // U(n_words + 1)).astype(np.int64), (key % U(n_words + 1)).astype(np.int64), context_count[known][at])
-            p[known], rest[known] = p_[back], rest_[back]
+        p = single
+        for own, rest, _, _ in trie_levels(trie, word, context, context_count, sizes, trie.order):
+            p = own + rest * p
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, first)
-        columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(np.log10(single))), pa.array(add(np.log10(p + rest * single)))]
+        columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(np.log10(single))), pa.array(add(np.log10(p)))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -539,9 +640,9 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2) -> DataFrame:
-    """Scores of all documents by a model of those whose crc32(doc_id) modulo parts isn't held."""
+def train_and_score(docs: DataFrame, parts: int = 7, held: int = 2, order: int = 2) -> DataFrame:
+    """Scores of all documents by a model, of n-grams up to order words, of those whose crc32(doc_id) modulo parts isn't held."""
     out = fold(F.col("doc_id"), parts) == held
     folder = f"{shared_dir(docs.sparkSession)}/trie-{uuid.uuid4().hex}"
-    trie = build(docs.filter(~out), folder)
+    trie = build(docs.filter(~out), folder, order=order)
     return score(docs, trie).select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
