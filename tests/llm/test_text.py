@@ -109,6 +109,23 @@ def test_cutoffs_hold_their_risk(spark):
     assert few == 0  # too few labels for the guarantee: nothing is rejected
 
 
+@pytest.mark.parametrize(("each", "least_kept"), [(45, 0.3), (5, 0.0)])
+def test_rules_together_hold_the_risk(spark, each, least_kept):
+    """Three rules that each reject `each` other good documents of 6000, and a third of the bad ones."""
+    rng = np.random.default_rng(17)
+    change = [lambda w: w + "*", lambda w: w + "!", str.upper]
+    rows, labels = [], []
+    for i in range(7500):
+        good, w = i < 6000, ["word%d" % x for x in rng.integers(0, 10**6, 60)]
+        kind = i // each if good else i % 3
+        rows.append((i, " ".join([change[kind](x) for x in w[:30]] + w[30:] if kind < 3 else w), "en"))
+        labels.append((i, int(good)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    out = quality.rate(docs, known).join(known, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    share = {r.quality: r.kept for r in out}
+    assert share[1] >= 1 - quality.RISK and least_kept <= share[0] < 0.7
+
+
 # -- 4: Jaccard join
 
 

@@ -2,13 +2,15 @@
 
 Each rule is a number per text, larger for worse texts. Labelled documents (crc32 folds play no part: the bound is exact
 for any fixed cutoff) that pass the base rules are the holdout. In each stratum (language) and for each rule the candidate
-cutoffs are tested from the mildest on: P(Binomial(n, risk) <= false rejections seen) must stay at or below
-delta / (rules * strata), and testing stops at the first failure. That is fixed-sequence testing within a rule and Bonferroni
-over rules and strata: with probability 1 - delta, no cutoff that passes rejects more than `risk` of a stratum's good
-documents. Of those, the cutoff that rejects most bad documents per good one is taken; without a gain the rule stays off.
+cutoffs are tested from the mildest on, at each share of the risk (risk * k / SHARES): P(Binomial(n, share) <= false rejections
+seen) must stay at or below delta / (rules * strata * SHARES), and testing stops at the first failure. That is fixed-sequence
+testing within a rule and share and Bonferroni over rules, shares and strata: with probability 1 - delta, no cutoff that passes
+rejects more than its share of a stratum's good documents. Of those, the cutoff that rejects most bad documents per good one
+is taken for each rule and share, and the shares are dealt to the rules for the largest gain, so that they add up to `risk` at most:
+all rules of a stratum together reject no more than `risk` of its good documents. Without a gain a rule stays off.
 
 All of it is DataFrame expressions. Documents are read twice and never shuffled; what is gathered is a table of at most
-strata x rules x BINS counts, whose size is fixed by parameters.
+strata x rules x BINS x SHARES counts, whose size is fixed by parameters.
 
 Defined results: null text has no words (base_failed); languages beyond `strata`, and null, are the stratum "other"; a null
 label is no label, of repeated labels of one doc_id the best holds; rows are kept as they are; columns of `docs` with the same
@@ -17,6 +19,8 @@ names as results are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ STRATA = ("en", "de", "fr", "es")
 #: Rule -> the value at its last cutoff; cutoffs are this, in BINS equal steps from 0.
 RULES = {"symbols": 1.0, "capitals": 1.0, "bangs": 1.0, "repeats": 1.0, "same_lines": 1.0, "word_length": 40.0}
 RISK, DELTA = 0.02, 0.05
+SHARES = 6  # equal parts of the risk that are dealt to the rules of a stratum
 
 
 def repeated_words(w: Column) -> Column:
@@ -98,7 +103,7 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
-def binomial_tail(n: Column, k: Column, p: float) -> Column:
+def binomial_tail(n: Column, k: Column, p: float | Column) -> Column:
     """P(Binomial(n, p) <= k), summed from k down; terms further than 12 deviations below k are below 1e-30 of the sum. 1 where k is above n * p."""
     first = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p)))
     terms = F.least(k, F.ceil(50 + 12 * F.sqrt(n * p))).cast("int")
@@ -122,12 +127,19 @@ def cutoffs(measured: DataFrame, into: str, labels: DataFrame, risk: float = RIS
     counts = held.select("stratum", "__good", F.explode(bins).alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.sum("__good").alias("good"), F.sum(1 - F.col("__good")).alias("bad"))
     each = Window.partitionBy("stratum", "rule")
     from_top = each.orderBy(F.col("bin").desc())
-    level = delta / (len(RULES) * (len(STRATA) + 1))
+    level = delta / (len(RULES) * (len(STRATA) + 1) * SHARES)
     tested = counts.select("stratum", "rule", "bin", F.sum("good").over(each).alias("n"), F.sum("good").over(from_top).alias("k"), F.sum("bad").over(from_top).alias("rejected"))
-    tested = tested.withColumn("p", F.max(binomial_tail(F.col("n"), F.col("k"), risk)).over(from_top))
+    tested = tested.withColumn("share", F.explode(F.array(*(F.lit(x) for x in range(1, SHARES + 1)))))
+    milder = Window.partitionBy("stratum", "rule", "share").orderBy(F.col("bin").desc())
+    tested = tested.withColumn("p", F.max(binomial_tail(F.col("n"), F.col("k"), F.col("share") * risk / SHARES)).over(milder))
     gain = F.col("rejected") - 5 * F.col("k")
     passing = tested.filter((F.col("p") <= level) & (F.col("bin") > 0) & (gain > 0))
-    best = passing.groupBy("stratum", "rule").agg(F.max_by("bin", F.struct(gain, "bin")).alias("bin"))
+    options = passing.groupBy("stratum", "rule", "share").agg(F.max_by("bin", F.struct(gain, "bin")).alias("bin"), F.max(gain).alias("gain"))
+    ways = [w for w in product(range(SHARES + 1), repeat=len(RULES)) if 0 < sum(w) <= SHARES]
+    dealt = measured.sparkSession.createDataFrame([(i, r, x) for i, w in enumerate(ways) for r, x in zip(RULES, w) if x], "way int, rule string, share int")
+    taken = options.join(F.broadcast(dealt), ["rule", "share"])  # of a fixed size, as are the options
+    ranked = taken.groupBy("stratum", "way").agg(F.sum("gain").alias("gain"), F.collect_list(F.struct("rule", "bin")).alias("cutoffs"))
+    best = ranked.groupBy("stratum").agg(F.max_by("cutoffs", F.struct("gain", "way")).alias("cutoffs")).select("stratum", F.explode("cutoffs").alias("x")).select("stratum", "x.rule", "x.bin")
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("bin") * top / BINS)).alias(r) for r, top in RULES.items()))
 
 
