@@ -199,6 +199,34 @@ def test_fingerprints(docs, texts, odd, nothing):
     assert sketches.compare_edits(odd).count() == odd.count() and sketches.compare_edits(nothing).count() == 0
 
 
+def cut_parts(t, longest):
+    import xxhash
+
+    out = set()
+    for x in parts(t):
+        w, start = x.split(" "), 0
+        if len(w) <= longest:
+            out.add(x)
+            continue
+        for end in range(1, len(w) + 1):
+            if end == len(w) or xxhash.xxh64_intdigest(w[end - 1], 42) % sketches.EVERY == 0:
+                out |= {" ".join(w[k : min(k + longest, end)]) for k in range(start, end, longest)}
+                start = end
+    return out
+
+
+def test_long_paragraphs_are_cut(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(n))) for i, n in enumerate((400, 64, 65, 3000))] + [(9, "same " * 1000)]
+    got = {r.doc_id: r for r in sketches.compare_edits(spark.createDataFrame(rows, "doc_id long, text string"), longest=64).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        assert got[i].near_edited == pytest.approx(likeness(cut_parts(t, 64), cut_parts(edited, 64)))
+        assert got[i].near_next == pytest.approx(likeness(cut_parts(t, 64), cut_parts(after, 64)))
+    assert got[0].near_edited > 0.3 and got[3].near_edited > 0.3
+
+
 def test_peeling_recovers_the_difference(spark):
     rng = np.random.default_rng(8)
     rows = []

@@ -28,7 +28,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketches.compare_edits(table(spark, sf_dir, "documents"))
+    return sketches.compare_edits(table(spark, sf_dir, "documents"), longest=sketches.LONGEST)
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Operator 5: document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs are its lines, cut after sentence ends; their 64-bit digests are a set. A sketch has blocks of CELLS
+A text's paragraphs are its lines, cut after sentence ends; one of more than `longest` words is cut further after each word
+whose hash names a boundary, and every `longest` words from there, so that an edit changes only the pieces near it. Their
+64-bit digests are a set. A sketch has blocks of CELLS
 cells in three groups; a digest goes to the block and to one cell of each group that its bits name, and a cell holds a
 count, the xor of its digests and the xor of their check hashes. Sketches of two versions subtract cell by cell: what they share
 cancels. Peeling takes digests out of cells that hold one only, until all cells are empty; then the differing digests
-are known, with their side. On failure larger sketches are compared, of more blocks; a block that fails is made larger again.
+are known, with their side. On failure larger sketches are compared, of more blocks; a block that fails is doubled by a further
+bit of the digests, up to DOUBLINGS times.
 
 The fingerprint is the one-block sketch, as text, after the number and hash of the characters. The likeness of two texts
 is the Jaccard coefficient of their digests, from the peeled difference: (a + b - d) / (a + b + d).
@@ -30,12 +33,27 @@ from .common import let
 CELLS, GROUP = 24, 8
 PER_BLOCK = 6  # digests of both sides for which a block of the retry is made
 ROUNDS = 6
+DOUBLINGS = 8  # bits 48 to 55 of the digests
+LONGEST, EVERY = 64, 16  # words of a piece at most; of so many words one is a boundary
 RANGE, MAX_RANGES = 500, 16384
 
 
-def digests(text: Column) -> Column:
-    """The set of paragraph digests."""
+def _cut(w: Column, longest: int) -> Column:
+    """The pieces of a paragraph of these words."""
+    ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == F.size(w)) | (F.pmod(F.xxhash64(F.get(w, i - 1)), F.lit(EVERY)) == 0))
+
+    def piece(start: Column, end: Column) -> Column:
+        steps = F.sequence(F.lit(0), F.floor((end - start - 1) / longest).cast("int"))
+        return F.transform(steps, lambda k: F.array_join(F.slice(w, start + k * longest + 1, F.least(F.lit(longest), end - start - k * longest)), " "))
+
+    return let(ends, lambda e: F.flatten(F.transform(e, lambda end, j: let(F.coalesce(F.get(e, j - 1), F.lit(0)), lambda start: piece(start, end)))))
+
+
+def digests(text: Column, longest: int | None = None) -> Column:
+    """The set of paragraph digests; paragraphs of more than longest words in pieces."""
     parts = F.filter(F.split(text, "\\n|(?<=[.!?]) "), lambda x: x != "")
+    if longest is not None:
+        parts = F.flatten(F.transform(parts, lambda x: let(F.split(x, " "), lambda w: F.when(F.size(w) <= longest, F.array(x)).otherwise(_cut(w, longest)))))
     return F.array_distinct(F.transform(parts, lambda x: F.xxhash64(x)))
 
 
@@ -115,7 +133,7 @@ def _dealt(a: Column, b: Column, shift: int, mask: Column, solve: Callable[[Colu
 def difference(a: Column, b: Column, small_a: Column, small_b: Column) -> Column:
     """The digests in which the sets a and b differ, with their side; small_*: their one-block sketches.
 
-    If these don't peel, sketches of enough blocks do; a block that fails is tried again in four, and then sorted out by its digests."""
+    If these don't peel, sketches of enough blocks do; a block that fails is doubled and doubled again, and only after the last time sorted out by its digests."""
     nothing = F.array().cast("array<struct<k:bigint,c:int>>")
 
     def exact(p: Column, q: Column) -> Column:
@@ -126,8 +144,11 @@ def difference(a: Column, b: Column, small_a: Column, small_b: Column) -> Column
         return F.when(F.size(p) + F.size(q) == 0, nothing).otherwise(peel(minus(_block(p), _block(q))))
 
     def solve(p: Column, q: Column) -> Column:
-        again = let(_dealt(p, q, 48, F.lit(3).cast("long"), once), lambda x: F.when(F.forall(x, lambda y: y.isNotNull()), F.flatten(x)))
-        return F.coalesce(once(p, q), again, exact(p, q))
+        def step(got: Column, mask: Column) -> Column:
+            return F.coalesce(got, let(_dealt(p, q, 48, mask, once), lambda x: F.when(F.forall(x, lambda y: y.isNotNull()), F.flatten(x))))
+
+        masks = F.array(*(F.lit((1 << k) - 1).cast("long") for k in range(DOUBLINGS + 1)))
+        return F.coalesce(F.aggregate(masks, F.lit(None).cast("array<struct<k:bigint,c:int>>"), step), exact(p, q))
 
     def larger(outer: Column, inner: Column) -> Column:
         # dealt out in two steps, so that the work grows with size * 2^(bits / 2)
@@ -177,13 +198,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     return both.withColumn("next", F.lead("text").over(order)).filter(~F.col("sent")).select("doc_id", "text", "next")
 
 
-def compare_edits(docs: DataFrame) -> DataFrame:
+def compare_edits(docs: DataFrame, longest: int | None = None) -> DataFrame:
     """Every text against its edited form (last quarter from the next text) and against the next text."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     pairs = with_next(docs).withColumn("n", n).withColumn("quarter", quarter)
     pairs = pairs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("quarter")), F.substring("next", F.lit(1), F.col("quarter"))))
-    sets = pairs.withColumn("a", digests(F.col("text"))).withColumn("e", digests(F.col("edited"))).withColumn("x", digests(F.col("next")))
+    sets = pairs.withColumn("a", digests(F.col("text"), longest)).withColumn("e", digests(F.col("edited"), longest)).withColumn("x", digests(F.col("next"), longest))
     small = sets
     for name in ("a", "e", "x"):
         small = small.withColumn(f"{name}1", _block(F.col(name)))
