@@ -145,3 +145,23 @@ def test_pieces_equal_the_library(odd, nothing, docs, texts):
         got = [(r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in pieces.encode_decode(df, SP, with_ids=False).collect()]
         assert sorted(got) == sorted(want(r.doc_id, r.text) for r in df.collect())
     assert pieces.encode_decode(nothing, SP).count() == 0
+
+
+def test_more_ids_than_16_bits_have_codes():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(1, 50, 70_000)
+    lengths = huffman.code_lengths(counts)
+    assert lengths.max() == 17
+    ids = rng.integers(0, 70_000, 5_000)
+    data, first, inside = huffman.encode_bits(ids, huffman.canonical(lengths), lengths, np.array([5_000]))
+    at = inside[:: huffman.CHECKPOINT]
+    each = np.full(len(at), huffman.CHECKPOINT)
+    each[-1] = 5_000 - huffman.CHECKPOINT * (len(at) - 1)
+    assert (huffman.decode_bits(data, at, each, huffman.decode_table(lengths)) == ids).all()
+
+
+def test_a_few_chunks_or_ids_are_remembered(library, monkeypatch):
+    monkeypatch.setattr(tokens, "IDS_EACH", 0)
+    tool = tokens.Encoder(BPE)
+    for t in ["x" * 5_000, "a b c " + "y z" * 900, "x" * 5_000]:
+        assert tool.encode([t], 0)[0].tolist() == [*library(t), 0]

@@ -1,8 +1,9 @@
 """Operator 7: token ids in files, under one canonical length-limited Huffman code from the counts of the whole corpus.
 
 1. Every text is encoded once; a document's ids go, compressed, to the shared folder.
-2. The ids are counted over all documents (a row per id and task at most), and package-merge gives each id a code of at
-   most MAX_BITS bits; canonical codes follow from the lengths alone.
+2. Each task counts the ids it has written; these counts are added up (a row per id and task at most), and package-merge gives
+   each id a code of at most MAX_BITS bits, or as many as the number of used ids needs; canonical codes follow from the
+   lengths alone.
 3. Each document becomes a bit string, with the bit offset of every CHECKPOINT-th id; these rows, at their entropy, are
    what is range-partitioned by doc_id. Each partition writes one file of independent blocks.
 4. The files are read back block by block, decoded by table look-up from all bit-offset checkpoints of a block at once.
@@ -31,6 +32,7 @@ from .common import shared_dir, small_batches, stored
 from .tokens import crc32, encoder
 
 MAX_BITS = 16
+WIDEST = 25  # bits that are read at any bit offset in four bytes
 CHECKPOINT = 256
 BLOCK_IDS = 1 << 16
 MAGIC = b"WEFTHUF1"
@@ -40,11 +42,12 @@ MAGIC = b"WEFTHUF1"
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Package-merge: the best prefix-code lengths of at most limit bits; 0 for ids that don't occur."""
+    """Package-merge: the best prefix-code lengths of at most limit bits (more if there are more ids than such codes); 0 for ids that don't occur."""
     used = np.flatnonzero(counts)
     lengths = np.zeros(len(counts), np.uint8)
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids don't fit codes of {limit} bits")
+    limit = max(limit, (len(used) - 1).bit_length())
+    if limit > WIDEST:
+        raise ValueError(f"{len(used)} ids don't fit codes of {WIDEST} bits")
     if len(used) < 2:
         lengths[used] = 1
         return lengths
@@ -68,25 +71,30 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     return lengths
 
 
+def _width(lengths: np.ndarray) -> int:
+    return max(1, int(lengths.max(initial=0)))
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes in order of length, then id."""
     codes = np.zeros(len(lengths), np.uint32)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
     if len(order):
-        bits = lengths[order].astype(np.int64)
-        width = 1 << (MAX_BITS - bits)
+        short = _width(lengths) - lengths[order].astype(np.int64)
+        width = 1 << short
         first = np.cumsum(width) - width
-        codes[order] = first >> (MAX_BITS - bits)
+        codes[order] = first >> short
     return codes
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For any next MAX_BITS bits: the id and its code's length."""
+    """For the next bits, as many as the longest code has: the id and its code's length."""
+    longest = _width(lengths)
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    width = 1 << (MAX_BITS - lengths[order].astype(np.int64))
-    ids, bits = np.zeros(1 << MAX_BITS, np.uint32), np.ones(1 << MAX_BITS, np.uint8)
+    width = 1 << (longest - lengths[order].astype(np.int64))
+    ids, bits = np.zeros(1 << longest, np.uint32), np.ones(1 << longest, np.uint8)
     ids[: width.sum()] = np.repeat(order, width)
     bits[: width.sum()] = np.repeat(lengths[order], width)
     return ids, bits
@@ -113,14 +121,15 @@ def decode_bits(data: bytes, at: np.ndarray, counts: np.ndarray, table: tuple[np
     """From each bit offset so many ids, all offsets in step; the ids one after another."""
     ids, bits = table
     raw = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
-    window = (raw[:-2] << 16) | (raw[1:-1] << 8) | raw[2:]  # 24 bits from each byte on
+    window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]  # 32 bits from each byte on
+    room, mask = 32 - (len(ids).bit_length() - 1), np.uint32(len(ids) - 1)
     order = np.argsort(-counts, kind="stable")
     at, left = at[order].copy(), counts[order]
     out = np.zeros((int(left[0]) if len(left) else 0, len(left)), np.uint32)
     for step in range(len(out)):
         live = int(np.searchsorted(-left, -step, "left"))  # counts above step come first
         here = at[:live]
-        key = (window[here >> 3] >> (8 - (here & 7)).astype(np.uint32)) & 0xFFFF
+        key = (window[here >> 3] >> (room - (here & 7)).astype(np.uint32)) & mask
         out[step, :live] = ids[key]
         here += bits[key]
     back = np.empty(len(order), np.int64)
@@ -133,34 +142,41 @@ def decode_bits(data: bytes, at: np.ndarray, counts: np.ndarray, table: tuple[np
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """doc_id, n_tokens, ids of some documents at a time: arrays in a row a batch."""
+    """doc_ids, counts, ids of some documents at a time: arrays in a row a batch; in a task's last row tally, how often it has met each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press, tool = zstandard.ZstdCompressor(level=1), encoder(tokenizer)
+        tally = np.zeros(tool.size, np.int64)
+
+        def row(docs_in: list, counts: list, ids: bytes, tally: bytes | None) -> pa.RecordBatch:
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (docs_in, counts)]
+            return pa.RecordBatch.from_arrays([*lists, pa.array([ids], pa.binary()), pa.array([tally], pa.binary())], ["doc_ids", "counts", "ids", "tally"])
+
         for b in batches:
-            ids, counts = encoder(tokenizer).encode([x or "" for x in b.column(1).to_pylist()], end)
-            docs_in = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([docs_in], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([press.compress(ids.tobytes())], pa.binary())], ["doc_ids", "counts", "ids"])
+            ids, counts = tool.encode([x or "" for x in b.column(1).to_pylist()], end)
+            tally += np.bincount(ids, minlength=tool.size)
+            yield row(b.column(0).to_pylist(), counts.tolist(), press.compress(ids.tobytes()), None)
+        yield row([], [], press.compress(b""), tally.tobytes())
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_ids array<long>, counts array<long>, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_ids array<long>, counts array<long>, ids binary, tally binary")
 
 
 def _open(data: bytes, dtype: np.dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
-def _counts(tokens: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
+def _counts(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs; at most a row per id of the vocabulary comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                total += np.bincount(_open(x, dtype), minlength=size)
+                total += np.frombuffer(x, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.filter("tally is not null").select("tally").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
@@ -178,8 +194,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> DataFra
     small_batches(spark)
     tool = encoder(tokenizer)
     dtype = np.dtype(tool.dtype)
-    tokens = stored(_encoded(docs, tokenizer, end))
-    lengths = code_lengths(_counts(tokens, tool.size, dtype))
+    draft = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    _encoded(docs, tokenizer, end).write.option("compression", "none").parquet(draft)  # a table: the counts are read without the ids
+    tokens = spark.read.parquet(draft)
+    lengths = code_lengths(_counts(tokens, tool.size))
     system, root = _file_system(folder)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/lengths.bin") as out:
@@ -230,7 +248,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 0) -> DataFra
             part_, path, block, at_, size, docs_, tokens_ = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(part_, pa.int32()), pa.array(path), pa.array(block, pa.int32()), *(pa.array(x, pa.int64()) for x in (at_, size, docs_, tokens_))], ["part", "path", "block", "at", "size", "n_docs", "n_tokens"])
 
-    rows = tokens.mapInArrow(bits, "doc_id long, n long, marks binary, bits binary")
+    rows = tokens.filter("tally is null").select("doc_ids", "counts", "ids").mapInArrow(bits, "doc_id long, n long, marks binary, bits binary")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return stored(ordered.mapInArrow(files, "part int, path string, block int, at long, size long, n_docs long, n_tokens long"))
 

@@ -15,7 +15,11 @@ CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: White space other than blank and newline (in any of the usual definitions): such texts are encoded in one piece.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
 #: Chunks that a worker remembers; then it forgets those used once.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: Chunks of more ids are forgotten first, also when there are more than IDS_EACH times as many ids as chunks may be remembered: texts without blanks are one chunk.
+LONGEST, IDS_EACH = 64, 8
+#: New chunks that are handed to the tokenizer as one text.
+JOINED = 512
 
 
 class _Index(dict):
@@ -40,11 +44,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
+        #: How many bytes each id stands for: a byte-level vocabulary spells each byte as one character.
+        self.n_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(self.size)], np.int64)
         self.index, self.ids = _Index([]), np.empty(0, self.dtype)
         self.starts, self.lengths, self.used = (np.empty(0, np.int64) for _ in range(3))
 
     def _forget(self) -> None:
-        keep = np.flatnonzero(self.used > 1)
+        keep = np.flatnonzero((self.used > 1) & (self.lengths <= LONGEST))
         keep = keep[np.argsort(-self.used[keep], kind="stable")][: REMEMBERED // 2]
         keys = list(self.index)
         self.index = _Index([keys[k] for k in keep.tolist()])
@@ -53,22 +59,51 @@ class Encoder:
         self.ids = self.ids[np.repeat(self.starts[keep] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
         self.starts, self.lengths, self.used = ends - lengths, lengths, self.used[keep] // 2
 
+    def _alone(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks one after another, each encoded by itself, and how many each has."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), self.dtype, int(lengths.sum())), lengths
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of blank + word: many of these make one text, which the ids' bytes cut up again."""
+        texts = [" " + " ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(got), self.dtype, sum(map(len, got)))
+        ends = np.cumsum(self.n_bytes[flat])
+        wanted = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), np.int64, len(words)))
+        at = np.searchsorted(ends, wanted)
+        if len(flat) == 0 or at[-1] != len(flat) - 1 or (ends[at] != wanted).any():  # an id reaches over two words, or doesn't spell its bytes
+            return self._alone([" " + w for w in words])
+        return flat, np.diff(at, prepend=-1)
+
     def _learn(self) -> None:
-        if not self.index.new:
+        new = self.index.new
+        if not new:
             return
-        chunks = [k[1:] if k.startswith("\0") else k if k.startswith("\n") else " " + k for k in self.index.new]
-        got = [x.ids for x in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter(chain.from_iterable(got), self.dtype, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        lone = np.fromiter((not k or k[0] in "\0\n" for k in new), bool, len(new))
+        lengths, starts = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        words = [k for k, x in zip(new, lone.tolist()) if not x]
+        chunks = [k[1:] if k[:1] == "\0" else k if k else " " for k, x in zip(new, lone.tolist()) if x]
+        parts = [self.ids]
+        at = len(self.ids)
+        for mask, encoded, texts in ((~lone, self._joined, words), (lone, self._alone, chunks)):
+            if not texts:
+                continue
+            flat, n = encoded(texts)
+            lengths[mask] = n
+            starts[mask] = at + np.cumsum(n) - n
+            parts.append(flat)
+            at += len(flat)
+        self.starts = np.concatenate([self.starts, starts])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.used = np.concatenate([self.used, np.zeros(len(got), np.int64)])
-        self.ids = np.concatenate([self.ids, flat])
+        self.used = np.concatenate([self.used, np.zeros(len(new), np.int64)])
+        self.ids = np.concatenate(parts)
         self.index.new = []
 
     def encode(self, texts: list[str], end: int | None = 0) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and how many each text has. end: an id put after each text."""
-        if len(self.index) > REMEMBERED:
+        if len(self.index) > REMEMBERED or len(self.ids) > IDS_EACH * REMEMBERED:
             self._forget()
         number, seen, per_text, whole = self.index.__getitem__, [], np.empty(len(texts), np.int64), {}
         for k, text in enumerate(texts):
