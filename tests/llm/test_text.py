@@ -2,15 +2,18 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import lines, quality, shingles, sketches, toxicity, trie
+from weftgraph.llm import common, lines, quality, shingles, sketches, toxicity, trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -169,7 +172,48 @@ def test_jaccard_chains_and_odd_rows(spark, odd, nothing):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in shingles.groups(df, 1, 90).collect()) == brute_groups(rows, 1, 90)
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id) for r in shingles.groups(odd, 3, 90).collect())
     assert got == brute_groups([(r.doc_id, r.text) for r in odd.collect()], 3, 90)
-    assert shingles.groups(nothing).count() == 0 and shingles.keep(odd).columns == odd.columns
+    assert shingles.groups(nothing).count() == 0 and shingles.keep(nothing).count() == 0
+
+
+@pytest.mark.parametrize("n", [3, 5])
+def test_one_row_of_each_component_stays(spark, odd, n):
+    kept = shingles.keep(odd, n, 80)
+    assert kept.columns == odd.columns
+    long = next(r.text for r in odd.collect() if r.doc_id == 6)
+    want = [(1, "a b c d"), (2, None), (3, ""), (5, "é \t ü\n\nß  z"), (6, long), (7, "other words here now"), (8, " \n "), (9, "日本語のテキスト <|endoftext|> \x00 end")]
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(i, t or "") for i, t in want]
+    # the same id on texts that have nothing in common; no ids at all
+    rows = [(1, "a b c d e f"), (7, "a b c d e f"), (7, "u v w x y z"), (None, "k l m n o p"), (None, "k l m n o p"), (None, "q r s t u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.text, r.doc_id) for r in shingles.keep(df, n, 80).collect())
+    assert got == [("a b c d e f", 1), ("k l m n o p", None), ("q r s t u v", None), ("u v w x y z", 7)]
+
+
+def test_columns_of_many_rows_are_split_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 5)
+    monkeypatch.setattr(shingles, "GATHERED", 7)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(base[:30] + rng.sample(base[30:], rng.randint(0, 20)) + [f"x{i % 7}"])) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (60, 75):
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in shingles.groups(df, 1, percent).collect()) == brute_groups(rows, 1, percent)
+
+
+def test_words_are_hashed_alike_whatever_the_slices(monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abAB eé\n\t\x0b\x0c\x1c\xa0語") for _ in range(rng.randint(0, 30))) for _ in range(2000)] + [None, "", "  ", "x" * 9000]
+    want = [(t or "").encode().lower().split() for t in texts]
+    known = {}
+    for size in (1 << 22, 50, 7):
+        monkeypatch.setattr(common, "SLICE", size)
+        hashes, n = common.word_hashes(pa.array(texts))
+        assert n.tolist() == [len(w) for w in want]
+        for w, h in zip(chain.from_iterable(want), hashes.tolist()):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    assert common.word_hashes(pa.array(["a"]))[0].tolist() == [known[b"a"]]
+    assert common.word_hashes(pa.array(texts).slice(3, 9))[1].tolist() == [len(w) for w in want[3:12]]
 
 
 # -- 5: fingerprints
