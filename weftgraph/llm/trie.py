@@ -31,18 +31,17 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, shared_dir, small_batches, stored
+from .common import fold, mix, shared_dir, small_batches, stored, word_hashes
 
 SHARD_TOKENS = 2_000_000
 HELD_BACK = 1_000_000  # tokens that a counting task gathers before it reports
-GATHERED = 400_000  # tokens that a scoring task looks up at a time
+GATHERED = 800_000  # tokens that a scoring task looks up at a time
 LEAST, DISCOUNT = 1, 0.75
 SAMPLE = 64  # values between two of those that a search starts from
 STEPS = 255 / 12.0  # 8-bit steps in each power of ten of a probability, down to 1e-12
@@ -53,22 +52,26 @@ U = np.uint64
 # -- Elias-Fano sequences ---------------------------------------------------------------------------------------------
 
 
+_ONES, _HIGHS = U(0x0101010101010101), U(0x8080808080808080)
+_IN_BYTE = np.array([[([k for k in range(8) if b >> k & 1] + [0] * 8)[i] for i in range(8)] for b in range(256)], np.uint8).ravel()
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """The position of the k-th (from 0) set bit of each 64-bit word."""
-    at, k = np.zeros(len(word), np.int64), k.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count((word >> at.astype(U)) & U((1 << width) - 1)).astype(np.int64)
-        over = k >= low
-        k -= np.where(over, low, 0)
-        at += np.where(over, width, 0)
-    return at
+    pairs = word - ((word >> U(1)) & U(0x5555555555555555))
+    nibbles = (pairs & U(0x3333333333333333)) + ((pairs >> U(2)) & U(0x3333333333333333))
+    upto = ((nibbles + (nibbles >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _ONES  # of each byte: set bits up to its end
+    k = k.astype(U)
+    at = np.bitwise_count(((k * _ONES | _HIGHS) - upto) & _HIGHS).astype(U) << U(3)  # the byte: so many end at or below k
+    left = k - (((upto << U(8)) >> at) & U(255))
+    return (at + _IN_BYTE[((word >> at) & U(255)) << U(3) | left]).astype(np.int64)
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits side by side, high parts as gaps in unary, with a rank directory per word."""
+    """A non-decreasing sequence: low bits side by side, high parts as gaps in unary, with a rank directory per word and the word of each SAMPLE-th value."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, words: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.ranks, self.words = n, low_bits, low, high, ranks, words
         self.every: np.ndarray | None = None  # each SAMPLE-th value, once searched
 
     @staticmethod
@@ -87,11 +90,20 @@ class EliasFano:
         high = np.zeros((int(ones[-1]) if n else 0) // 64 + 2, U)
         np.bitwise_or.at(high, ones >> 6, U(1) << (ones & 63).astype(U))
         counts = np.bitwise_count(high).astype(np.uint32)
-        return EliasFano(n, low_bits, low, high, np.cumsum(counts, dtype=np.uint32) - counts)
+        ranks = np.append(np.cumsum(counts, dtype=np.uint32) - counts, np.uint32(n))
+        return EliasFano(n, low_bits, low, high, ranks, (ones[::SAMPLE] >> 6).astype(np.uint32))
 
     def get(self, at: np.ndarray) -> np.ndarray:
         """The values at these places."""
-        word = np.searchsorted(self.ranks, at.astype(np.uint32), "right") - 1
+        word = self.words[at // SAMPLE].astype(np.int64)
+        behind = np.flatnonzero(self.ranks[word + 1] <= at)
+        for _ in range(4):  # a few words on, as a rule
+            if not len(behind):
+                break
+            word[behind] += 1
+            behind = behind[self.ranks[word[behind] + 1] <= at[behind]]
+        if len(behind):
+            word[behind] = np.searchsorted(self.ranks, at[behind].astype(np.uint32), "right") - 1
         bit = word * 64 + _select_in_word(self.high[word], at - self.ranks[word].astype(np.int64))
         value = (bit - at).astype(U) << U(self.low_bits)
         if self.low_bits:
@@ -123,14 +135,14 @@ class EliasFano:
         return low
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.size": np.array([self.n, self.low_bits], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ranks": self.ranks}
+        return {f"{name}.size": np.array([self.n, self.low_bits], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ranks": self.ranks, f"{name}.words": self.words}
 
     @staticmethod
     def of(arrays: dict, name: str) -> EliasFano:
         """The sequence of that name in a file, which keeps it with its samples."""
         if name not in arrays:
             n, low_bits = arrays[f"{name}.size"].tolist()
-            arrays[name] = EliasFano(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ranks"])
+            arrays[name] = EliasFano(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ranks"], arrays[f"{name}.words"])
         return arrays[name]
 
 
@@ -190,33 +202,17 @@ class _Files:
 # -- words and counts -------------------------------------------------------------------------------------------------
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 400_000:
-            self.clear()
-        got = self[word] = max(2, xxhash.xxh3_64_intdigest(word))
-        return got
-
-
-def _tokens(texts: list[str | None], hashes: dict) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all tokens, each text's end included, and how many each text has."""
-    split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # bytes: ASCII letters and white space only
-    sizes = np.array([len(w) + 1 for w in split], np.int64)
+    words, sizes = word_hashes(texts)
+    sizes = sizes + 1
     out = np.full(int(sizes.sum()), END, U)
     inside = np.ones(len(out), bool)
     inside[np.cumsum(sizes) - 1] = False
-    out[inside] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(split)), U, int(sizes.sum()) - len(sizes))
+    out[inside] = np.maximum(words, U(2))
     return out, sizes
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(31))) * U(0x7FB5D329728EA185)
-    x = (x ^ (x >> U(27))) * U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> U(33))
-
-
 def _to_bytes(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Sorted keys as gaps, then counts, both as variable-length numbers, seven bits a byte."""
     values = np.concatenate([keys[:1], np.diff(keys), counts.astype(U)])
@@ -256,10 +252,15 @@ def _merged(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(counts, first)
 
 
-def _blocks(keys: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    """The counts of some keys as a row per shard."""
-    order = np.lexsort((keys, shard))
-    keys, shard = keys[order], shard[order]
+def _blocks(keys: np.ndarray, shard: np.ndarray, by_range: bool = False) -> pa.RecordBatch:
+    """The counts of some keys as a row per shard; by_range: larger keys are in later shards."""
+    width = int(keys.max()).bit_length()
+    if width + int(shard.max()).bit_length() <= 64:  # one number to sort by
+        both = np.sort(shard.astype(U) << U(width % 64) | keys) if width < 64 else np.sort(keys)
+        keys, shard = (both & U((1 << width) - 1), (both >> U(width % 64)).astype(np.int32)) if width < 64 else (both, np.zeros(len(both), np.int32))
+    else:
+        order = np.argsort(keys) if by_range else np.lexsort((keys, shard))
+        keys, shard = keys[order], shard[order]
     first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (shard[1:] != shard[:-1])]))
     counts = np.diff(np.append(first, len(keys)))
     keys, shard = keys[first], shard[first]
@@ -332,8 +333,8 @@ class Trie:
         return np.maximum(1, np.minimum(self.shards, context_counts * self.shards // max(1, self.n_tokens)))
 
     def pair_shard(self, context: np.ndarray, word: np.ndarray, context_counts: np.ndarray) -> np.ndarray:
-        part = _mix(word.astype(U)) % self.parts(context_counts).astype(U)
-        return ((_mix(context.astype(U) + U(7)) + part) % U(self.shards)).astype(np.int32)
+        part = mix(word.astype(U)) % self.parts(context_counts).astype(U)
+        return ((mix(context.astype(U) + U(7)) + part) % U(self.shards)).astype(np.int32)
 
     def pairs(self, context: np.ndarray, word: np.ndarray, context_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """p of the bigram (0 if not kept) and rest of the context, of known words; the bigram's shard and its place there (-1 if not kept)."""
@@ -460,9 +461,9 @@ def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DI
     shards = max(1, -(-int(rough[1] // 6 + rough[0]) // shard_tokens))
 
     def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        hashes, held, sizes, n = _Hashes(), [], [], 0
+        held, sizes, n = [], [], 0
         for b in batches:
-            t, s = _tokens(b.column(0).to_pylist(), hashes)
+            t, s = _tokens(b.column(0))
             held.append(t)
             sizes.append(s)
             n += len(t)
@@ -477,7 +478,7 @@ def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DI
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, _ in gathered(batches, HELD_BACK):
             if len(tokens):
-                yield _blocks(tokens, empty.word_shard(tokens))
+                yield _blocks(tokens, empty.word_shard(tokens), by_range=True)
 
     def write_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -575,8 +576,10 @@ def trie_levels(trie: Trie, word: np.ndarray, context: np.ndarray, context_count
     # the rest of a known context also holds before unknown words, which stand for no successor
     known = np.flatnonzero(context >= 0)
     asked = np.where(word >= 0, word, trie.n_words)
-    key, at, back = np.unique(context[known].astype(U) * U(width) + asked[known].astype(U), return_index=True, return_inverse=True)
+    key, back = np.unique(context[known].astype(U) * U(width) + asked[known].astype(U), return_inverse=True)
     if len(key):
+        at = np.empty(len(key), np.int64)
+        at[back] = np.arange(len(back))
         got = trie.pairs((key // U(width)).astype(np.int64), (key % U(width)).astype(np.int64), context_count[known][at])
         p[known], rest[known], shard[known], spot[known] = (x[back] for x in got)
     yield p, rest, shard, spot
@@ -607,8 +610,7 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     total = float(trie.n_tokens + trie.n_words + 1)
     n_words = trie.n_words
 
-    def scored(ids: list, texts: list, hashes: dict) -> pa.RecordBatch:
-        tokens, sizes = _tokens(texts, hashes)
+    def scored(ids: pa.Array, tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         if n_words:
             word, context, context_count, counts = trie_numbers(trie, tokens, sizes)
         else:
@@ -620,21 +622,22 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
             p = own + rest * p
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, first)
-        columns = [pa.array(ids, pa.int64()), pa.array(sizes), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(np.log10(single))), pa.array(add(np.log10(p)))]
+        columns = [ids, pa.array(sizes), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(np.log10(single))), pa.array(add(np.log10(p)))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, ids, texts, chars = _Hashes(), [], [], 0
+        ids, tokens, sizes, n = [], [], [], 0
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                chars += len(t or "")
-                if chars >= 6 * GATHERED:
-                    yield scored(ids, texts, hashes)
-                    ids, texts, chars = [], [], 0
-        if ids:
-            yield scored(ids, texts, hashes)
+            t, s = _tokens(b.column(1))
+            ids.append(b.column(0))
+            tokens.append(t)
+            sizes.append(s)
+            n += len(t)
+            if n >= GATHERED:
+                yield scored(pa.concat_arrays(ids), np.concatenate(tokens), np.concatenate(sizes))
+                ids, tokens, sizes, n = [], [], [], 0
+        if n:
+            yield scored(pa.concat_arrays(ids), np.concatenate(tokens), np.concatenate(sizes))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
