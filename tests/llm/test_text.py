@@ -189,6 +189,26 @@ def test_one_row_of_each_component_stays(spark, odd, n):
     assert got == [("a b c d e f", 1), ("k l m n o p", None), ("q r s t u v", None), ("u v w x y z", 7)]
 
 
+def test_signatures_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 54, 9000).astype(np.uint64)
+    for size, other in ((1500, 1600), (1030, 2100), (4000, 4100), (2000, 2000)):
+        a, b = np.sort(pool[:size]), np.sort(pool[size // 20 : size // 20 + other])
+        real = len(np.setxor1d(a, b))
+        wide = shingles._differ(shingles.wide_signature(a), shingles.wide_signature(b))
+        narrow = shingles.signatures(np.concatenate([a, b]), np.array([len(a), len(b)])).view(np.uint64)
+        assert wide <= real and int(np.bitwise_count(narrow[0] ^ narrow[1]).sum()) <= real and (real == 0 or wide > real // 3)
+
+
+def test_large_sets_that_are_near_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "WIDE", 20)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(w if rng.random() > 0.002 * (i % 12) else f"n{i}{w}" for w in base[: 190 + i % 5])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in shingles.groups(df, 3, 90).collect()) == brute_groups(rows, 3, 90)
+
+
 def test_columns_of_many_rows_are_split_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(shingles, "BLOCK", 5)
     monkeypatch.setattr(shingles, "GATHERED", 7)

@@ -7,7 +7,8 @@ steps, adding up each pair's shared columns. Columns with one row are dropped be
 
 A pair counts in a column only if its sizes allow t and if its signatures do: a signature has SIGNATURE bits, each the parity of
 the columns hashed to it, so two signatures differ in no more bits than the sets differ in columns, which bounds the overlap
-from above. Of the pairs added up those go on whose shared columns + the larger rest reach ceil(t / (1 + t) * (size +
+from above. A pair of larger sets (above WIDE columns) is then tested with wide signatures, of about a bit per column,
+which are kept once per set. Of the pairs added up those go on whose shared columns + the larger rest reach ceil(t / (1 + t) * (size +
 size)), below which no overlap can give t. What is left is verified on the whole sets.
 
 Equal sets are one row (so copies are no pairs). The first product pairs the rows of a column with the row whose signature is
@@ -39,6 +40,7 @@ HOT = 1 << 16
 BITMAP = 1 << 25
 HASH_BITS = 54
 SIGNATURE = 512
+WIDE = 1024
 LEADERS = 4
 BLOCK = 4096
 GATHERED = 50_000  # rows of columns that a task takes at a time
@@ -120,8 +122,42 @@ def signatures(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def wide_signature(value: np.ndarray) -> bytes:
+    """The same of one large set, with as many bits as a power of two not below its size; none for small sets."""
+    if len(value) <= WIDE:
+        return b""
+    width = (len(value) - 1).bit_length()
+    bit = (mix(value ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - width)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=1 << width) & 1).astype(np.uint8)).tobytes()
+
+
+def _differ(a: bytes, b: bytes) -> int:
+    """In how many columns two sets with these wide signatures differ at least."""
+    x, y = (np.unpackbits(np.frombuffer(s, np.uint8)) for s in (a, b))
+    while len(x) != len(y):  # a wider one is folded: the hash's last bit goes
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[::2] ^ x[1::2]
+    return int((x ^ y).sum())
+
+
+def _narrowed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wide signatures allow the threshold. sets: key, size, wide."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, v, w = (b.column(k).to_pylist() for k in (2, 3, 4, 5))
+            good = [not p or not q or (m + n - _differ(p, q)) // 2 >= -(-percent * (m + n) // (100 + percent)) for m, n, p, q in zip(x, y, v, w)]
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+    of = lambda side: sets.select(F.col("key").alias(side), F.col("size").alias(f"size_{side}"), F.col("wide").alias(f"wide_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "size_a", "size_b", "wide_a", "wide_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, text_key, size, key, signature and the deciding columns of each document."""
+    """doc_id, text_key, size, key, signatures and the deciding columns of each document."""
     hot = _hot(docs, n)
     by_value = np.argsort(hot)
     sorted_hot = hot[by_value]
@@ -150,10 +186,12 @@ def _prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 kept = kept[np.argsort(owner[kept], kind="stable")]
             columns = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(value[kept].view(np.int64)))
             signature = pa.array([x.tobytes() for x in signatures(value, counts)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts), pa.array(_key(value, counts)), signature, columns], ["doc_id", "text_key", "size", "key", "signature", "cols"])
+            ends = np.cumsum(counts)
+            wide = pa.array([wide_signature(value[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(counts), pa.array(_key(value, counts)), signature, wide, columns], ["doc_id", "text_key", "size", "key", "signature", "wide", "cols"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, size long, key long, signature binary, cols array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, size long, key long, signature binary, wide binary, cols array<long>")
 
 
 def _least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -393,16 +431,17 @@ def _members(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, text_key, size, key and the least key that its set is connected with, root, of every row."""
     small_batches(docs.sparkSession)
     members = stored(_prefixes(docs, n, percent))
-    sets = members.filter("size > 0").groupBy("key", "size").agg(F.first("cols").alias("cols"), F.first("signature").alias("signature"), F.min("text_key").alias("text_key"))
+    sets = members.filter("size > 0").groupBy("key", "size").agg(F.first("cols").alias("cols"), F.first("signature").alias("signature"), F.first("wide").alias("wide"), F.min("text_key").alias("text_key"))
     shared = stored(_shared(sets))
-    rows = stored(sets.join(shared.select("key").distinct(), "key", "left_semi").select("key", "size", "signature", "text_key"))
-    texts, rows = rows.select("key", "text_key"), rows.select("key", "size", "signature", F.col("key").alias("part"))
-    edges = stored(_verified(stored(_products(shared, rows, percent, all_pairs=False)), texts, docs, n, percent))
+    found = stored(sets.join(shared.select("key").distinct(), "key", "left_semi").drop("cols"))
+    rows = found.select("key", "size", "signature", F.col("key").alias("part"))
+    first = stored(_narrowed(_products(shared, rows, percent, all_pairs=False), found, percent))
+    edges = stored(_verified(first, found, docs, n, percent))
     roots = components(edges)
     parted = rows.join(roots, "key", "left").select("key", "size", "signature", F.coalesce("root", "part").alias("part"))
-    second = stored(_products(shared, parted, percent, all_pairs=True))
+    second = stored(_narrowed(_products(shared, parted, percent, all_pairs=True), found, percent))
     if second.limit(1).count():
-        edges = stored(edges.union(_verified(second, texts, docs, n, percent)).distinct())
+        edges = stored(edges.union(_verified(second, found, docs, n, percent)).distinct())
         roots = components(edges)
     return members.select("doc_id", "text_key", "size", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
