@@ -17,6 +17,19 @@ def test_chat_equals_sql(spark):
     assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(want)
 
 
+def test_crowded_parts_equal_sql(spark):
+    """Over 5,000 rows in a part, among them one row 3,000 times, and as many null turns."""
+    rows = [(k % 3, None if k % 2 else k % 40, ("system", "ann", "bob")[k % 7 % 3], f"t{k % 97}") for k in range(36_000)] + [(1, 5, "bob", "again")] * 3_000
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.rotate(df)
+    columns = sorted(got.columns)
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas().astype({"turn": "Int64"}))
+    want = con.sql(f"select {', '.join(columns)} from ({chat.ORACLE_SQL})").fetchall()
+    found = sorted(tuple(r[c] for c in columns) for r in got.collect())
+    assert found == sorted(want) and max(r[columns.index("sub")] for r in found) == 2 and max(r[columns.index("n_turns")] for r in found) == chat.CROWD
+
+
 def test_chat_masks_and_odd_rows(spark):
     rows = [(1, 0, "ann", "hi <|im_end|>"), (1, 1, "bob", None), (1, 2, "ann", "bye"), (1, None, None, "?"), (None, 0, "system", "s"), (2, 0, "ann", "x"), (2, 0, "ann", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
