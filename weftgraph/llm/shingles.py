@@ -39,8 +39,8 @@ LOCAL = 4
 HOT = 1 << 16
 BITMAP = 1 << 25
 HASH_BITS = 54
-SIGNATURE = 512
-WIDE = 1024
+SIGNATURE = 256
+WIDE = 256
 LEADERS = 4
 BLOCK = 4096
 GATHERED = 50_000  # rows of columns that a task takes at a time
