@@ -121,6 +121,33 @@ def test_updates_are_atomic_and_read_themselves(spark, tmp_path):
     assert Store(spark, folder, "third").edges().count() == 0
 
 
+def test_merge_by_map_and_several_rows_for_one_id(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "g"), "me")
+    store.create_nodes(spark.createDataFrame([("a",), ("b",)], "id string").withColumn("labels", F.array(F.lit("P"))).withColumn("props", props(x=1)))
+    edge = lambda **kw: spark.createDataFrame([("KNOWS", "a", "b")], "type string, src string, dst string").withColumn("props", props(**kw))
+    store.merge_edges(edge(g="1").unionAll(edge(g="1")).withColumn("id", F.lit("own")))
+    # another value, text and number, and what the first edge has or lacks
+    store.merge_edges(edge(g="2").unionAll(edge(g=1)).unionAll(edge(h=None)).unionAll(edge()).unionAll(edge(g="1")))
+    store.merge_edges(edge(g="9").withColumn("id", F.lit("own")))
+    assert store.edges().count() == 3
+    rows = spark.createDataFrame([("a", 0, "9"), ("a", 1, "1"), ("b", 0, "3")], "id string, ordinal int, v string").withColumn("props", F.from_json(F.concat(F.lit('{"x": '), "v", F.lit("}")), "map<string,variant>"))
+    store.set_props("node", rows)
+    assert {r.id: json.loads(r.props) for r in store.nodes().select("id", F.to_json("props").alias("props")).collect()} == {"a": {"x": 1}, "b": {"x": 3}}
+    with pytest.raises(ValueError, match="one id"):
+        store.create_nodes(spark.createDataFrame([("c",), ("c",)], "id string").withColumn("labels", F.array(F.lit("P"))).withColumn("props", props()))
+
+
+def test_unknown_labels_and_types_give_no_rows(spark):
+    g = Graph().add_nodes("A", spark.createDataFrame([(1, "x"), (2, "y")], "k long, name string"), "k")
+    g.add_edges("T", spark.createDataFrame([(1, 2)], "s long, t long"), "A", "A", "s", "t")
+    assert match(g, node("n", "Nobody")).count() == 0 and match(g, node("n", "A", "B")).select(p("n.name")).count() == 0
+    assert match(g, node("a", "A"), out("U", var="r"), node("b", "A")).select(p("a.name"), p("r.id"), p("b.k")).count() == 0
+    rows = optional(g, match(g, node("a", "A")), node("a", "A"), out("U"), node("b", "A"))
+    assert sorted((r[0], r[1]) for r in rows.select(p("a.k"), p("b.k")).collect()) == [(1, None), (2, None)]
+    rows = optional(g, match(g, node("a", "A")), node("a", "A"), out("T"), node("b", "Nobody"))
+    assert rows.select(p("a.k"), p("b.id")).count() == 2
+
+
 def test_stream_keeps_winners(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "table")
     schema = "id string, at long, value string"

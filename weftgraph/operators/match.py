@@ -13,6 +13,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.graph import EdgeTable, Graph
 
@@ -115,6 +116,26 @@ def _from_left(df: DataFrame, e: EdgeTable, rel: Rel, var: str, left: str, right
     return _with_props(df.filter(p(f"{var}.__right").isNotNull()), var, rel.props)
 
 
+def _nothing(graph: Graph, nodes: list[Node], names: list[str], rels: list[Rel]) -> DataFrame:
+    """No rows, with the columns that the variables would have, as far as their labels and types are known."""
+    fields: dict[str, T.DataType] = {}
+    for n, name in zip(nodes, names):
+        tables = [graph.nodes[x] for x in n.labels if x in graph.nodes]
+        own = {c.name: c.dataType for t in tables for c in t.df.schema}
+        native = own[tables[0].key[0]] if len(tables) == 1 and len(tables[0].key) == 1 else T.StringType()
+        for c, kind in {"id": native, "label": T.StringType(), **{k: T.StringType() for k in n.props if k not in own}, **own}.items():
+            fields.setdefault(f"{name}.{c}", kind)
+    for k, r in enumerate(rels):
+        var = r.var or f"__r{k}"
+        fields |= {f"{var}.id": T.StringType(), f"{var}.type": T.StringType()}
+        for e in graph.edges:
+            if e.type in r.types or not r.types:
+                fields |= {f"{var}.{c.name}": c.dataType for c in e.df.schema if not e.props or c.name in e.props}
+    shown = [T.StructField(k, kind) for k, kind in fields.items() if not k.startswith("__")]
+    spark = next(iter(graph.nodes.values())).df.sparkSession
+    return spark.createDataFrame([], T.StructType(shown))
+
+
 def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset()) -> DataFrame:
     """All matches of a path. bound: variables that rows already have, which decides how undirected relationships are read."""
     nodes, rels = path[::2], path[1::2]
@@ -136,12 +157,12 @@ def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset())
             right = {e.source if t else e.target for e, t in found}
             if left != may[k] or right != may[k + 1]:
                 may[k], may[k + 1], changed = left, right, True
+    if not all(may):  # an unknown label or type, or no relationship between these labels
+        return _nothing(graph, nodes, names, rels)
     as_text = [len(m) != 1 for m in may]
 
     def ends(k: int) -> DataFrame:
         n, name = nodes[k], names[k]
-        if not may[k]:
-            raise ValueError(f"no label fits node {name}")
         frames = []
         for label in sorted(may[k]):
             t = graph.nodes[label]
@@ -161,8 +182,6 @@ def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset())
     for k, r in enumerate(rels):
         var, a, b = r.var or f"__r{k}", names[k], names[k + 1]
         found = _candidates(graph, r, may[k], may[k + 1])
-        if not found:
-            raise ValueError(f"no relationship fits {'|'.join(r.types) or 'any type'}")
         # a foreign key: the relationship is a row of one end's own table, which needs no join with it
         single = found[0] if len(found) == 1 and not (as_text[k] or as_text[k + 1]) else None
         at_left = single is not None and _owned(graph, *single, left=True)

@@ -2,7 +2,8 @@
 
 A statement turns rows into new versions; later statements of the commit see them. Nothing is visible to others until
 commit(), which writes one staged folder and renames it: all or nothing. Every statement gets the next counter, so its versions
-win over what it has read; rows of one statement have different ids.
+win over what it has read; of several rows for one id a statement makes one version, later rows (by ordinal, then text) over
+earlier ones, and what is created has ids of its own.
 """
 
 from __future__ import annotations
@@ -88,8 +89,13 @@ class Store:
     # -- statements
 
     def create_nodes(self, rows: DataFrame, by: str | None = None) -> DataFrame:
-        """rows: labels, props and optionally id."""
-        return self._add(rows if "id" in rows.columns else rows.withColumn("id", F.uuid()), "node", by=by)
+        """rows: labels, props and optionally id, all different."""
+        if "id" in rows.columns:
+            rows = self._fixed(rows)
+            if rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+                raise ValueError("two created nodes have one id")
+            return self._add(rows, "node", by=by)
+        return self._add(rows.withColumn("id", F.uuid()), "node", by=by)
 
     def create_edges(self, rows: DataFrame, by: str | None = None) -> DataFrame:
         """rows: type, src, dst, props and optionally id; both ends must be live."""
@@ -114,16 +120,28 @@ class Store:
         return self._add(merged.select("id", over(F.coalesce("old_props", no_props), F.col("new_props")).alias("props"), F.array_union(F.coalesce("old_labels", F.array().cast("array<string>")), F.col("new_labels")).alias("labels")), "node", by=by)
 
     def merge_edges(self, rows: DataFrame, by: str | None = None) -> DataFrame:
-        """rows: type, src, dst, props: made where no live edge of that type between the ends exists."""
-        old = self.edges().select("type", "src", "dst").distinct()
-        new = rows.dropDuplicates(["type", "src", "dst"]).join(old, ["type", "src", "dst"], "left_anti")
-        return self.create_edges(new, by=by)
+        """rows: type, src, dst, props and optionally id: made where no live edge has that id, or that type, these ends and all of these properties ({k: null} is also what lacks k). Rows that agree in all of it make one edge."""
+        rows = self._fixed(rows)
+        old = self.edges().select("id", "type", "src", "dst", _texts(F.col("props")).alias("old_texts"))
+        new = rows.withColumn("__texts", _texts(F.col("props"))).withColumn("__all", F.to_json(F.array_sort(F.map_entries("__texts"))))
+        if "id" in rows.columns:
+            new = new.join(old.select("id"), "id", "left_anti").dropDuplicates(["id"])
+        new = new.dropDuplicates(["type", "src", "dst", "__all"]).withColumnsRenamed({x: f"__{x}" for x in ("type", "src", "dst")})
+        contained = F.forall(F.map_entries("__texts"), lambda e: F.coalesce(F.element_at("old_texts", e["key"]), F.lit("null")) == e["value"])
+        same = (F.col("__type") == F.col("type")) & (F.col("__src") == F.col("src")) & (F.col("__dst") == F.col("dst"))
+        left = new.join(old.drop("id"), same & contained, "left_anti").withColumnsRenamed({f"__{x}": x for x in ("type", "src", "dst")})
+        return self.create_edges(left.select(*rows.columns), by=by)
 
     def set_props(self, kind: str, rows: DataFrame, replace: bool = False, by: str | None = None) -> DataFrame:
-        """rows: id, props; merged over the live record's (null is stored), or in their place."""
+        """rows: id, props and optionally ordinal; merged over the live record's (null is stored), or in their place. Of rows with one id all count in order: later properties over earlier ones, or the last map."""
         live = self.nodes() if kind == "node" else self.edges()
-        both = live.join(rows.select("id", F.col("props").alias("new_props")), "id")
-        props = F.col("new_props") if replace else over(F.coalesce("props", F.create_map().cast("map<string,variant>")), F.col("new_props"))
+        rows = rows if "ordinal" in rows.columns else rows.withColumn("ordinal", F.lit(0))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", F.to_json("props").alias("props")))), lambda x: F.from_json(x["props"], "map<string,variant>"))
+        each = rows.groupBy("id").agg(listed.alias("all"))
+        no_props = F.create_map().cast("map<string,variant>")
+        new = F.element_at("all", -1) if replace else F.aggregate("all", no_props, lambda a, x: over(a, x))
+        both = live.join(each.select("id", new.alias("new_props")), "id")
+        props = F.col("new_props") if replace else over(F.coalesce("props", no_props), F.col("new_props"))
         return self._add(both.select("id", props.alias("props"), "labels", "type", "src", "dst"), kind, by=by)
 
     def add_labels(self, rows: DataFrame, by: str | None = None) -> DataFrame:
@@ -184,6 +202,11 @@ class Store:
         self.pending = None
 
 
+def _texts(props: Column) -> Column:
+    """A property map with each value as JSON text, which tells text from number; null is an empty map."""
+    return F.coalesce(F.transform_values(props, lambda k, v: F.coalesce(F.to_json(v), F.lit("null"))), F.create_map().cast("map<string,string>"))
+
+
 def over(old: Column, new: Column) -> Column:
     """new's entries over old's."""
     kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.array_contains(F.map_keys(new), k), F.lit(False)))

@@ -347,7 +347,7 @@ def q51_rel_identity(g: Graph) -> DataFrame:
     return rows.groupBy(p("s.s_suppkey").alias("s")).agg(F.count(p("r.id")).alias("edges"), F.countDistinct(p("p.id")).alias("parts"))
 
 
-@query("select d.doc_id id, l.quality q from documents d left join labels l using (doc_id) order by q desc nulls last, id limit 500")
+@query("select d.doc_id id, l.quality q from documents d left join labels l using (doc_id) order by q desc nulls last, id")
 def q52_order_null_last(g: Graph) -> DataFrame:
     rows = optional(g, match(g, node("d", "Document")), node("d", "Document"), out("LABELLED"), node("x", "DocLabel"))
-    return order(rows.select(p("d.doc_id").alias("id"), p("x.quality").alias("q")), ("q", "desc"), "id", limit=500)
+    return order(rows.select(p("d.doc_id").alias("id"), p("x.quality").alias("q")), ("q", "desc"), "id")
