@@ -10,6 +10,7 @@ from weftgraph.functions import scalars as S
 from weftgraph.functions.search import cosine, full_text, query_tokens
 from weftgraph.operators import versions as V
 from weftgraph.operators.match import both, into, match, node, optional, out, p, pattern
+from weftgraph.operators.record_graph import has_label, open_folder, prop
 from weftgraph.operators.relational import union
 from weftgraph.operators.writes import Store
 from weftgraph.sources import records
@@ -239,3 +240,37 @@ def test_full_text_and_user_functions(spark):
     assert [r[0] for r in df.limit(1).select(functions("SHOUT", functions("twice", F.col("t")))).collect()] == ["A RED FOXA RED FOX"]
     with pytest.raises(KeyError, match="known: shout, twice"):
         functions("missing")
+
+
+def test_graph_of_a_folder(spark, tmp_path):
+    nodes = [node_line("a", T1, ("P", "Q"), name="x", age=5, uuid="u1"), node_line("b", T1, ("P",), age="5"), node_line("c", T1, (), age=5.0, tags=[1, 2]), node_line("gone", T1)]
+    put(tmp_path, "nodes/w.1.jsonl", nodes)
+    edges = [edge_line("e1", T1, "a", "b", since=1), edge_line("e2", T1, "b", "c", "LIKES"), edge_line("e3", T1, "c", "c"), edge_line("e4", T1, "a", "gone")]
+    put(tmp_path, "edges/w.1.jsonl", edges)
+    put(tmp_path, "meta/deleted.w.jsonl", [{"id": "gone", "v": 1, "kind": "node", "updated_at": T1, "writer": "w", "counter": 0}])
+    g = open_folder(spark, str(tmp_path))
+
+    def found(*path, **more):
+        return sorted(tuple(r) for r in match(g, *path, **more).select(*(p(f"{x}.id") for x in dict.fromkeys(n.var for n in path if n.var))).collect())
+
+    assert found(node("n")) == [("a",), ("b",), ("c",)]
+    assert found(node("n", "P")) == [("a",), ("b",)] and found(node("n", "P", "Q")) == [("a",)] and found(node("n", "Z")) == []
+    assert found(node("n", age=5)) == [("a",), ("c",)] and found(node("n", age="5")) == [("b",)] and found(node("n", tags=[1, 2])) == [("c",)]
+    assert found(node("n", name=None)) == [("b",), ("c",)]
+    assert found(node("n", uuid="u1")) == [("a",)] and found(node("n", uuid="b")) == [("b",)]
+    assert found(node("n"), out("KNOWS", since=1), node("m")) == [("a", "b")]
+    assert found(node("n"), into(), node("m", "P")) == [("b", "a"), ("c", "b")] and found(node("n"), out("NONE"), node("m")) == []
+    assert found(node(), both(var="r"), node()) == [("e1",), ("e2",), ("e3",)]  # as stored, where no end is labelled
+    assert found(node("n", "P"), both(), node("m")) == [("a", "b"), ("b", "a"), ("b", "c")]
+    assert found(node("n"), out(), node("n")) == [("c",)] and found(node("n"), out(), node("m"), out(), node("k")) == [("a", "b", "c"), ("b", "c", "c"), ("c", "c", "c")]
+    bound = match(g, node("n", uuid="c"))
+    assert sorted(r[0] for r in match(g, node("n"), both(var="r"), node(), rows=bound).select(p("r.id")).collect()) == ["e2", "e3", "e3"]
+    left = optional(g, match(g, node("n")), node("n"), out("LIKES"), node("m"))
+    assert sorted((r[0], r[1]) for r in left.select(p("n.id"), has_label("m", "P")).collect()) == [("a", False), ("b", False), ("c", False)]
+    assert [tuple(r) for r in left.filter("`m.id` is not null").select(prop("m.age", "double"), prop("m.age"), prop("n.uuid")).collect()] == [(5.0, None, "b")]
+
+
+def test_incoming_relationships_between_free_ends(spark):
+    g = Graph().add_nodes("A", spark.range(3), "id").add_edges("T", spark.createDataFrame([(0, 1)], "s long, t long"), "A", "A", "s", "t")
+    rows = match(g, node(), into("T", var="r"), node()).select(p("r.s"), p("r.t")).collect()
+    assert [tuple(r) for r in rows] == [(0, 1)]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.graph import EdgeTable, Graph
+from .record_graph import RecordGraph
 
 
 def p(name: str) -> Column:
@@ -136,8 +137,10 @@ def _nothing(graph: Graph, nodes: list[Node], names: list[str], rels: list[Rel])
     return spark.createDataFrame([], T.StructType(shown))
 
 
-def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset()) -> DataFrame:
+def pattern(graph: Graph | RecordGraph, path: list[Node | Rel], bound: set[str] = frozenset()) -> DataFrame:
     """All matches of a path. bound: variables that rows already have, which decides how undirected relationships are read."""
+    if isinstance(graph, RecordGraph):
+        return graph.pattern(path, bound)
     nodes, rels = path[::2], path[1::2]
     names = [n.var or f"__n{k}" for k, n in enumerate(nodes)]
     may = [set(n.labels) & set(graph.nodes) if n.labels else set(graph.nodes) for n in nodes]
@@ -193,7 +196,7 @@ def pattern(graph: Graph, path: list[Node | Rel], bound: set[str] = frozenset())
         else:
             take_left = df is None and at_left and needed(0)
             carried = {a: nodes[k].props} if take_left else {b: nodes[k + 1].props} if at_right else {}
-            hop = _hop(found, r, var, (as_text[k], as_text[k + 1]), once=unlabelled, loops_once=free and r.direction == "both", carried=carried)
+            hop = _hop(found, r, var, (as_text[k], as_text[k + 1]), once=unlabelled and r.direction == "both", loops_once=free and r.direction == "both", carried=carried)
             at_right = at_right and not take_left
             if df is not None:
                 df = df.join(hop, p(f"{a}.id") == p(f"{var}.__left"))
@@ -224,7 +227,7 @@ def variables(df: DataFrame) -> set[str]:
     return {c.rpartition(".")[0] for c in df.columns if c.endswith(".id")}
 
 
-def match(graph: Graph, *path: Node | Rel, rows: DataFrame | None = None, where: Column | None = None) -> DataFrame:
+def match(graph: Graph | RecordGraph, *path: Node | Rel, rows: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """Matches of the path, joined with rows on the variables that they share; a product where they share none."""
     got = pattern(graph, list(path), variables(rows) if rows is not None else set())
     if rows is not None:
@@ -233,7 +236,7 @@ def match(graph: Graph, *path: Node | Rel, rows: DataFrame | None = None, where:
     return got if where is None else got.filter(where)
 
 
-def optional(graph: Graph, rows: DataFrame, *path: Node | Rel, where: Column | None = None) -> DataFrame:
+def optional(graph: Graph | RecordGraph, rows: DataFrame, *path: Node | Rel, where: Column | None = None) -> DataFrame:
     """Every row with its matches, or once with nulls; where is part of the match."""
     got = pattern(graph, list(path), variables(rows))
     return _join(rows, got, sorted(variables(rows) & variables(got)), where, "left")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.search import cosine, full_text
 from ..operators.match import both, into, match, node, optional, out, p
+from ..operators.record_graph import RecordGraph, has_label, of_versions, prop
 from ..operators.relational import collect, group, order, union, unwind
 from ..operators.versions import last_write
+from ..sources import records
 from ..sources.graph import Graph
 from ..sources.tables import star_graph
 
@@ -351,3 +353,51 @@ def q51_rel_identity(g: Graph) -> DataFrame:
 def q52_order_null_last(g: Graph) -> DataFrame:
     rows = optional(g, match(g, node("d", "Document")), node("d", "Document"), out("LABELLED"), node("x", "DocLabel"))
     return order(rows.select(p("d.doc_id").alias("id"), p("x.quality").alias("q")), ("q", "desc"), "id")
+
+
+# -- records
+
+
+def _records(g: Graph) -> RecordGraph:
+    """Customers and nations as JSON records: customers in debt have a later version with one more label, those of one segment are deleted later."""
+
+    def lines(df: DataFrame, folder: str, at: int, **fields: Column) -> DataFrame:
+        stamp = {"v": F.lit(1), "updated_at": F.lit(f"2026-01-01T00:00:0{at}Z"), "writer": F.lit("w"), "counter": F.lit(0)}
+        return df.select(F.lit(f"/{folder}/w").alias("path"), F.to_json(F.struct(*(c.alias(k) for k, c in {**stamp, **fields}.items()))).alias("line"))
+
+    customers, nations = g.nodes["Customer"].df, g.nodes["Nation"].df
+    c_id, n_id = F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), F.col("c_nationkey"))
+    props = F.struct(F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    parts = [
+        lines(customers, "nodes", 1, id=c_id, labels=F.array(F.lit("Customer"), F.col("c_mktsegment")), props=props),
+        lines(customers.filter("c_acctbal < 0"), "nodes", 2, id=c_id, labels=F.array(F.lit("Customer"), F.col("c_mktsegment"), F.lit("Debtor")), props=props),
+        lines(customers.filter("c_mktsegment = 'MACHINERY'"), "meta/deleted", 3, id=c_id, kind=F.lit("node")),
+        lines(nations, "nodes", 1, id=F.concat(F.lit("n"), "n_nationkey"), labels=F.array(F.lit("Nation")), props=F.struct(F.col("n_name").alias("name"))),
+        lines(customers, "edges", 1, id=F.concat(F.lit("e"), "c_custkey"), type=F.lit("IN_NATION"), **{"from": c_id, "to": n_id}, props=F.struct(F.col("c_mktsegment").alias("via"))),
+    ]
+    whole = parts[0]
+    for x in parts[1:]:
+        whole = whole.unionAll(x)
+    return of_versions(records.versions(whole)[0])
+
+
+@query("select n_name nation, count(*) c, max(c_custkey) last from customer join nation on c_nationkey = n_nationkey where c_mktsegment = 'BUILDING' and c_acctbal < 0 group by 1")
+def q53_record_labels(g: Graph) -> DataFrame:
+    rows = match(_records(g), node("c", "Customer", "Debtor", segment="BUILDING"), out("IN_NATION"), node("n", "Nation"))
+    return rows.groupBy(prop("n.name").alias("nation")).agg(count_all().alias("c"), F.max(prop("c.key", "bigint")).alias("last"))
+
+
+@query("select n_name nation, c_custkey k, c_acctbal < 0 as debtor, c_mktsegment via from nation left join customer on c_nationkey = n_nationkey and c_mktsegment <> 'MACHINERY'")
+def q54_record_optional(g: Graph) -> DataFrame:
+    graph = _records(g)
+    rows = optional(graph, match(graph, node("n", "Nation")), node("n"), both("IN_NATION", var="r"), node("c"))
+    debtor = F.when(p("c.id").isNotNull(), has_label("c", "Debtor"))
+    return rows.select(prop("n.name").alias("nation"), prop("c.key", "bigint").alias("k"), debtor.alias("debtor"), prop("r.via").alias("via"))
+
+
+@query("select 'Nation' l, count(*) c from nation union all select 'none', 0")
+def q55_record_unknown(g: Graph) -> DataFrame:
+    graph = _records(g)
+    found = match(graph, node("n", "Nation")).select(F.lit("Nation").alias("l"))
+    none = match(graph, node("a", "Nation", "Debtor"), out("NO_SUCH_TYPE"), node("b", "NoSuchLabel"))
+    return union(found.groupBy("l").agg(count_all().alias("c")), none.agg(count_all().alias("c")).select(F.lit("none").alias("l"), "c"), all=True)
