@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import scalars as S
-from weftgraph.functions.search import cosine, full_text, query_tokens
+from weftgraph.functions.search import cosine, full_text, nearest, query_tokens
 from weftgraph.operators import versions as V
 from weftgraph.operators.match import both, into, match, node, optional, out, p, pattern
 from weftgraph.operators.record_graph import has_label, open_folder, prop
@@ -274,3 +274,57 @@ def test_incoming_relationships_between_free_ends(spark):
     g = Graph().add_nodes("A", spark.range(3), "id").add_edges("T", spark.createDataFrame([(0, 1)], "s long, t long"), "A", "A", "s", "t")
     rows = match(g, node(), into("T", var="r"), node()).select(p("r.s"), p("r.t")).collect()
     assert [tuple(r) for r in rows] == [(0, 1)]
+
+
+def test_tables_with_columns_named_like_identity(spark):
+    nodes = spark.createDataFrame([(1, "x", "one"), (2, "y", "two")], "id long, label string, name string")
+    edges = spark.createDataFrame([(1, 2, 7, "t")], "s long, t long, id long, type string")
+    g = Graph().add_nodes("A", nodes, "id").add_edges("TO", edges, "A", "A", "s", "t")
+    rows = match(g, node("a", "A", label="x"), out("TO", var="r", id=7), node("b", "A")).collect()
+    assert [(r["a.id"], r["a.label"], r["a.label_"], r["r.type"], r["r.type_"], r["r.id_"], r["b.id_"]) for r in rows] == [(1, "A", "x", "TO", "t", 7, 2)]
+    assert match(g, node("a", "A", id=2)).count() == 1 and match(g, node("a", "A", label="A")).count() == 0
+    assert sorted((r.id, r.labels, r.id_) for r in g.scan().collect()) == [("A:1", ["A"], 1), ("A:2", ["A"], 2)]
+    assert match(g, node("a", "A"), out("NONE"), node("b", "A")).columns[:2] == ["a.id", "a.label"]
+
+
+def test_bound_ends_are_joined_once_and_tables_are_opened_when_asked(spark):
+    opened = []
+
+    def table(name, df):
+        return lambda: (opened.append(name), df)[1]
+
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k long, name string")
+    b = spark.createDataFrame([(10, 1), (11, 1)], "o long, a long")
+    g = Graph().add_nodes("A", table("a", a), "k").add_nodes("B", table("b", b), "o").add_edges("HAS", table("b", b), "A", "B", "a", "o")
+    people = match(g, node("a", "A"))
+    assert set(opened) == {"a"}
+    rows = optional(g, people, node("a", "A"), out("HAS"), node("b", "B"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # A once, B once
+    assert sorted((r["a.name"], r["b.o"] or 0) for r in rows.collect()) == [("x", 10), ("x", 11), ("y", 0)]
+    narrow = people.select(p("a.id"))  # the name is fetched again where rows lack it
+    assert sorted(r["a.name"] for r in match(g, node("a", "A"), rows=narrow).collect()) == ["x", "y"]
+    assert {r["a.name"] for r in match(g, node("a", "A"), out("HAS"), node("b", "B"), rows=narrow).collect()} == {"x"}
+
+
+def test_dangling_edges_once_each(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,)], "k long")
+    edges = spark.createDataFrame([(1, 2), (1, 9), (9, 1), (9, 9), (None, 1), (1, 9)], "s long, t long")
+    g = Graph(clean=False).add_nodes("A", a, "k").add_edges("TO", edges, "A", "A", "s", "t")
+    assert sorted(map(str, (tuple(r) for r in g.dangling("TO").collect()))) == sorted(map(str, [(1, 9), (1, 9), (9, 1), (9, 9), (None, 1)]))
+
+
+def test_nearest_equals_brute_force_in_small_blocks(spark):
+    rng = random.Random(5)
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(90)] + [(90, None), (None, [1.0] * 4), (91, [0.0] * 4), (7, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(vectors, "id long, vector array<float>").repartition(3)
+    length = lambda x: sum(v * v for v in x) ** 0.5
+    score = lambda x, y: round(sum(a * b for a, b in zip(x, y)) / (length(x) * length(y)), 9) if length(x) * length(y) else 0.0
+    real = [(i, v) for i, v in vectors if i is not None and v is not None]
+    want = []
+    for q, x in real:
+        if q % 10 == 0:
+            best = sorted((-score(x, y), i) for i, y in real if score(x, y) > 0.1)[:5]
+            want += [(q, i, place) for place, (_, i) in enumerate(best, 1)]
+    got = nearest(df, df.filter("id % 10 = 0"), k=5, above=0.1, floats=64)
+    assert sorted((r.query, r.id, r.place) for r in got.collect()) == sorted(want)
+    assert nearest(df.limit(0), df, k=5).count() == 0 and nearest(df, df.limit(0), k=5).count() == 0

@@ -1,10 +1,12 @@
-"""Vector and full-text search as full scans with pushed-down projections."""
+"""Vector and full-text search over all rows, with pushed-down projections."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +37,49 @@ def full_text(df: DataFrame, query: str, fields: list[str], limit: int | None =
     if limit is not None:
         found = found.orderBy(F.col("score").desc(), *([F.col(f"`{tie}`")] if tie else [])).limit(limit)
     return found
+
+
+def nearest(rows: DataFrame, wanted: DataFrame, k: int, above: float = float("-inf"), floats: int = 1 << 22) -> DataFrame:
+    """query, id, score, place: for each wanted (id, vector) the k rows (id, vector) of highest cosine above a bound, exactly; equal scores go by id.
+
+    Both sides are cut into blocks of about so many floats; a task multiplies one block by another and keeps k rows a query,
+    so only those are sorted over all blocks. Scores are rounded to 9 digits. Null vectors have no score, the zero vector has 0,
+    vectors of different lengths are an error.
+    """
+
+    def blocks(df: DataFrame) -> int:
+        n = df.agg(F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()[0]
+        return -(-n // floats) or 1
+
+    rows, wanted = (df.select("id", "vector").filter("id is not null and vector is not null") for df in (rows, wanted))
+    n_rows, n_wanted = blocks(rows), blocks(wanted)
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    # dealt by place, not by id or content, so that repeated rows fill no block
+    by_place = lambda n: (F.monotonically_increasing_id() % n).cast("int")
+    left = rows.withColumn("a", by_place(n_rows)).withColumn("b", spread(n_wanted))
+    right = wanted.withColumn("b", by_place(n_wanted)).withColumn("a", spread(n_rows))
+
+    def unit(x: pd.Series) -> np.ndarray:
+        m = np.stack(x.to_numpy()).astype(float)
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+    def product(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        found = {"query": [], "id": [], "score": []}
+        if len(rows) and len(wanted):
+            ids, table = rows["id"].to_numpy(), unit(rows["vector"])
+            queries, asked = wanted["id"].to_numpy(), unit(wanted["vector"])
+            for begin in range(0, len(queries), 64):
+                for query, score in zip(queries[begin:], np.round(asked[begin : begin + 64] @ table.T, 9)):
+                    least = np.partition(score, -k)[-k] if len(score) > k else -np.inf
+                    at = np.flatnonzero((score >= least) & (score > above))
+                    at = at[np.lexsort((ids[at], -score[at]))][:k]
+                    found["query"].append(np.full(len(at), query))
+                    found["id"].append(ids[at])
+                    found["score"].append(score[at])
+        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in found.items()})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    some = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(product, f"query {wanted.schema['id'].dataType.simpleString()}, id {kind}, score double")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    return some.withColumn("place", F.row_number().over(best).cast("long")).filter(F.col("place") <= k)

@@ -2,7 +2,8 @@
 
 Rows are a DataFrame whose columns are named `variable.property`, with `variable.id` for identity (refer to them with `p`).
 A node's id is its native key where the pattern pins one label, so joins stay on native keys; where several labels are
-possible it is the text `label:key`. Matching is homomorphic: an edge may be used twice in a path.
+possible it is the text `label:key`. A property called id or label (of relationships: id or type) is `variable.id_` and so on
+(see `shown`); property maps name it as it is. Matching is homomorphic: an edge may be used twice in a path.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.graph import EdgeTable, Graph
+from ..sources.graph import EDGE_OWN, NODE_OWN, EdgeTable, Graph, shown
 from .record_graph import RecordGraph
 
 
@@ -60,9 +61,9 @@ def _same(column: Column, value: Any) -> Column:
     return column.eqNullSafe(value if isinstance(value, Column) else F.lit(value))
 
 
-def _with_props(df: DataFrame, prefix: str, props: dict[str, Any]) -> DataFrame:
+def _with_props(df: DataFrame, prefix: str, props: dict[str, Any], own: tuple[str, ...]) -> DataFrame:
     for k, v in props.items():
-        name = f"{prefix}.{k}"
+        name = f"{prefix}.{shown(k, own)}"
         df = df.filter(_same(p(name), v) if name in df.columns else F.lit(v is None))
     return df
 
@@ -92,11 +93,11 @@ def _hop(found: list[tuple[EdgeTable, bool]], rel: Rel, var: str, as_text: tuple
         stored = e.df
         if turned and loops_once and e.source == e.target:
             stored = stored.filter(reduce(lambda x, y: x | y, [F.col(i) != F.col(j) for i, j in zip(e.src, e.dst)]))
-        df = stored.select(key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), (b if turned else a).alias(f"{var}.__left"), (a if turned else b).alias(f"{var}.__right"), *(F.col(c).alias(f"{var}.{c}") for c in names), *(F.col(c).alias(f"{n}.{c}") for n in carried for c in e.df.columns))
+        df = stored.select(key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), (b if turned else a).alias(f"{var}.__left"), (a if turned else b).alias(f"{var}.__right"), *(F.col(c).alias(f"{var}.{shown(c, EDGE_OWN)}") for c in names), *(F.col(c).alias(f"{n}.{shown(c, NODE_OWN)}") for n in carried for c in e.df.columns))
         df = df.filter(p(f"{var}.__left").isNotNull() & p(f"{var}.__right").isNotNull()) if carried else df
         for n, wanted in carried.items():
-            df = _with_props(df, n, wanted)
-        frames.append(_with_props(df, var, rel.props))
+            df = _with_props(df, n, wanted, NODE_OWN)
+        frames.append(_with_props(df, var, rel.props, EDGE_OWN))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
@@ -109,12 +110,12 @@ def _owned(graph: Graph, e: EdgeTable, turned: bool, left: bool) -> bool:
 
 def _from_left(df: DataFrame, e: EdgeTable, rel: Rel, var: str, left: str, right_key: tuple[str, ...]) -> DataFrame:
     """A hop whose columns the node at its left has already."""
-    of = lambda c: p(f"{left}.{c}")
+    of = lambda c: p(f"{left}.{shown(c, NODE_OWN)}")
     right = of(right_key[0]) if len(right_key) == 1 else F.struct(*(of(c).alias(f"k{i}") for i, c in enumerate(right_key)))
     names = e.props or tuple(e.df.columns)
     key = F.concat_ws(":", F.lit(e.type), *(of(c).cast("string") for c in e.identity))
-    df = df.select("*", key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), right.alias(f"{var}.__right"), *(of(c).alias(f"{var}.{c}") for c in names))
-    return _with_props(df.filter(p(f"{var}.__right").isNotNull()), var, rel.props)
+    df = df.select("*", key.alias(f"{var}.id"), F.lit(e.type).alias(f"{var}.type"), right.alias(f"{var}.__right"), *(of(c).alias(f"{var}.{shown(c, EDGE_OWN)}") for c in names))
+    return _with_props(df.filter(p(f"{var}.__right").isNotNull()), var, rel.props, EDGE_OWN)
 
 
 def _nothing(graph: Graph, nodes: list[Node], names: list[str], rels: list[Rel]) -> DataFrame:
@@ -122,23 +123,23 @@ def _nothing(graph: Graph, nodes: list[Node], names: list[str], rels: list[Rel])
     fields: dict[str, T.DataType] = {}
     for n, name in zip(nodes, names):
         tables = [graph.nodes[x] for x in n.labels if x in graph.nodes]
-        own = {c.name: c.dataType for t in tables for c in t.df.schema}
-        native = own[tables[0].key[0]] if len(tables) == 1 and len(tables[0].key) == 1 else T.StringType()
-        for c, kind in {"id": native, "label": T.StringType(), **{k: T.StringType() for k in n.props if k not in own}, **own}.items():
+        own = {shown(c.name, NODE_OWN): c.dataType for t in tables for c in t.df.schema}
+        native = own[shown(tables[0].key[0], NODE_OWN)] if len(tables) == 1 and len(tables[0].key) == 1 else T.StringType()
+        for c, kind in {"id": native, "label": T.StringType(), **{shown(k, NODE_OWN): T.StringType() for k in n.props}, **own}.items():
             fields.setdefault(f"{name}.{c}", kind)
     for k, r in enumerate(rels):
         var = r.var or f"__r{k}"
         fields |= {f"{var}.id": T.StringType(), f"{var}.type": T.StringType()}
         for e in graph.edges:
             if e.type in r.types or not r.types:
-                fields |= {f"{var}.{c.name}": c.dataType for c in e.df.schema if not e.props or c.name in e.props}
-    shown = [T.StructField(k, kind) for k, kind in fields.items() if not k.startswith("__")]
+                fields |= {f"{var}.{shown(c.name, EDGE_OWN)}": c.dataType for c in e.df.schema if not e.props or c.name in e.props}
+    visible = [T.StructField(k, kind) for k, kind in fields.items() if not k.startswith("__")]
     spark = next(iter(graph.nodes.values())).df.sparkSession
-    return spark.createDataFrame([], T.StructType(shown))
+    return spark.createDataFrame([], T.StructType(visible))
 
 
-def pattern(graph: Graph | RecordGraph, path: list[Node | Rel], bound: set[str] = frozenset()) -> DataFrame:
-    """All matches of a path. bound: variables that rows already have, which decides how undirected relationships are read."""
+def pattern(graph: Graph | RecordGraph, path: list[Node | Rel], bound: set[str] = frozenset(), held: set[str] = frozenset()) -> DataFrame:
+    """All matches of a path. bound: variables that rows already have, which decides how undirected relationships are read. held: their columns, which are not fetched again."""
     if isinstance(graph, RecordGraph):
         return graph.pattern(path, bound)
     nodes, rels = path[::2], path[1::2]
@@ -170,11 +171,15 @@ def pattern(graph: Graph | RecordGraph, path: list[Node | Rel], bound: set[str]
         for label in sorted(may[k]):
             t = graph.nodes[label]
             key = t.text_id() if as_text[k] else t.key_column()
-            frames.append(t.df.select(key.alias(f"{name}.id"), F.lit(label).alias(f"{name}.label"), *(F.col(c).alias(f"{name}.{c}") for c in t.df.columns)))
-        return _with_props(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), name, n.props)
+            frames.append(t.df.select(key.alias(f"{name}.id"), F.lit(label).alias(f"{name}.label"), *(F.col(c).alias(f"{name}.{shown(c, NODE_OWN)}") for c in t.df.columns)))
+        return _with_props(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), name, n.props, NODE_OWN)
 
     def needed(k: int) -> bool:
-        return not graph.clean or nodes[k].var is not None or bool(nodes[k].props)
+        n = nodes[k]
+        if not graph.clean or n.props or n.var is None:
+            return not graph.clean or bool(n.props)
+        # a node that rows have already is joined by them, by its id, and has its columns there
+        return as_text[k] or n.var not in bound or not all(f"{n.var}.{shown(c, NODE_OWN)}" in held for c in graph.nodes[min(may[k])].df.columns)
 
     # one undirected relationship between ends that are neither labelled nor bound is seen once, as stored
     free = len(rels) == 1 and not any(n.props.get("uuid") or n.var in bound for n in nodes)
@@ -190,7 +195,7 @@ def pattern(graph: Graph | RecordGraph, path: list[Node | Rel], bound: set[str]
         at_left = single is not None and _owned(graph, *single, left=True)
         at_right = single is not None and _owned(graph, *single, left=False) and b not in placed and needed(k + 1)
         right_key = single and (single[0].src if single[1] else single[0].dst)
-        if df is not None and at_left and all(f"{a}.{c}" in df.columns for c in single[0].df.columns):
+        if df is not None and at_left and all(f"{a}.{shown(c, NODE_OWN)}" in df.columns for c in single[0].df.columns):
             df = _from_left(df, single[0], r, var, a, right_key)
             at_right = False
         else:
@@ -229,7 +234,7 @@ def variables(df: DataFrame) -> set[str]:
 
 def match(graph: Graph | RecordGraph, *path: Node | Rel, rows: DataFrame | None = None, where: Column | None = None) -> DataFrame:
     """Matches of the path, joined with rows on the variables that they share; a product where they share none."""
-    got = pattern(graph, list(path), variables(rows) if rows is not None else set())
+    got = pattern(graph, list(path), variables(rows) if rows is not None else set(), set(rows.columns) if rows is not None else set())
     if rows is not None:
         shared = sorted(variables(rows) & variables(got))
         got = _join(rows, got, shared, None, "inner") if shared else rows.crossJoin(got)
@@ -238,7 +243,7 @@ def match(graph: Graph | RecordGraph, *path: Node | Rel, rows: DataFrame | None
 
 def optional(graph: Graph | RecordGraph, rows: DataFrame, *path: Node | Rel, where: Column | None = None) -> DataFrame:
     """Every row with its matches, or once with nulls; where is part of the match."""
-    got = pattern(graph, list(path), variables(rows))
+    got = pattern(graph, list(path), variables(rows), set(rows.columns))
     return _join(rows, got, sorted(variables(rows) & variables(got)), where, "left")
 
 

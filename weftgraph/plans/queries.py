@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.search import cosine, full_text
+from ..functions.search import full_text, nearest
 from ..operators.match import both, into, match, node, optional, out, p
 from ..operators.record_graph import RecordGraph, has_label, of_versions, prop
 from ..operators.relational import collect, group, order, union, unwind
@@ -63,20 +63,25 @@ def q04_prop_map_null(g: Graph) -> DataFrame:
     return match(g, node("n", "Region", missing=None)).select(p("n.r_name").alias("name"))
 
 
-@query("select r_name as name from region")
+def _labelled(g: Graph, where: Column) -> DataFrame:
+    """Documents with their label, if any, as far as a condition holds."""
+    return optional(g, match(g, node("d", "Document")), node("d", "Document"), out("LABELLED"), node("x", "DocLabel")).filter(where)
+
+
+@query("select d.doc_id k from documents d left join labels l using (doc_id) where l.quality is distinct from 1")
 def q05_two_valued_not(g: Graph) -> DataFrame:
-    missing = F.lit(None).cast("int")
-    return match(g, node("n", "Region"), where=S.not_(missing == 1)).select(p("n.r_name").alias("name"))
+    return _labelled(g, S.not_(p("x.quality") == 1)).select(p("d.doc_id").alias("k"))
 
 
 @query("select o_orderkey k from orders where o_orderstatus in ('F', 'P') and o_totalprice > 400000")
 def q06_in_list(g: Graph) -> DataFrame:
-    return match(g, node("o", "Purchase"), where=p("o.o_orderstatus").isin("F", "P") & (p("o.o_totalprice") > 400000)).select(p("o.o_orderkey").alias("k"))
+    wanted = S.is_in(p("o.o_orderstatus"), F.array(F.lit("F"), F.lit("P"), F.lit(None)))
+    return match(g, node("o", "Purchase"), where=wanted & (p("o.o_totalprice") > 400000)).select(p("o.o_orderkey").alias("k"))
 
 
-@query("select count(*) c from nation where n_name is not null")
+@query("select count(*) c, count(l.doc_id) labelled from documents d left join labels l using (doc_id) where l.quality is null and d.lang is not null")
 def q07_is_null(g: Graph) -> DataFrame:
-    return match(g, node("n", "Nation"), where=F.lit(None).isNull() & p("n.n_name").isNotNull()).agg(count_all().alias("c"))
+    return _labelled(g, p("x.quality").isNull() & p("d.lang").isNotNull()).agg(count_all().alias("c"), F.count(p("x.id")).alias("labelled"))
 
 
 # -- expansions
@@ -260,9 +265,11 @@ def q38_string_funcs(g: Graph) -> DataFrame:
     return match(g, node("p", "Part")).select(p("p.p_partkey").alias("k"), S.to_upper(name).alias("u"), S.to_lower(p("p.p_type")).alias("l"), S.replace(p("p.p_brand"), "Brand#", "B").alias("b"), S.substring(name, 1, 3).alias("s"), S.size(name, "string").alias("n"))
 
 
-@query("select p_partkey k, string_split(p_name, ' ')[1] w, 'x' t, 'x' lt, 'x' rt from part")
+@query("select p_partkey k, string_split(p_name, ' ')[1] w, p_name t, p_name || ' ' lt, '  ' || p_name rt from part")
 def q39_split_trim(g: Graph) -> DataFrame:
-    return match(g, node("p", "Part")).select(p("p.p_partkey").alias("k"), S.at(S.split(p("p.p_name"), " "), 0).alias("w"), S.trim(F.lit("  x ")).alias("t"), S.ltrim(F.lit("  x")).alias("lt"), S.rtrim(F.lit("x  ")).alias("rt"))
+    name = p("p.p_name")
+    padded = F.concat(F.lit("  "), name, F.lit(" "))
+    return match(g, node("p", "Part")).select(p("p.p_partkey").alias("k"), S.at(S.split(name, " "), 0).alias("w"), S.trim(padded).alias("t"), S.ltrim(padded).alias("lt"), S.rtrim(padded).alias("rt"))
 
 
 @query("select s, trunc(try_cast(s as double))::bigint i, try_cast(s as double) f from (values ('1'), ('1.9'), ('abc')) t(s)")
@@ -271,9 +278,10 @@ def q40_casts(g: Graph) -> DataFrame:
     return rows.select("s", S.to_integer(F.col("s")).alias("i"), S.to_float(F.col("s")).alias("f"))
 
 
-@query("select r_name v from region")
+@query("select d.doc_id k, coalesce(l.quality, l.toxic, -1)::bigint v from documents d left join labels l using (doc_id)")
 def q41_coalesce(g: Graph) -> DataFrame:
-    return match(g, node("r", "Region")).select(F.coalesce(F.lit(None).cast("string"), p("r.r_name")).alias("v"))
+    value = F.coalesce(p("x.quality"), p("x.toxic"), F.lit(-1)).cast("long")
+    return _labelled(g, F.lit(True)).select(p("d.doc_id").alias("k"), value.alias("v"))
 
 
 @query("select 'Nation' l, count(*) c from nation")
@@ -285,13 +293,13 @@ def q42_labels_ids(g: Graph) -> DataFrame:
 
 
 @query(
-    "with q as (select embedding e from embeddings where vec_id = 0), s as (select vec_id, list_cosine_similarity(embedding::double[], e::double[]) sc from embeddings, q) "
-    "select vec_id id from s where sc > 0.2 order by sc desc, vec_id limit 10"
+    "with s as (select q.vec_id as query, n.vec_id as id, round(list_cosine_similarity(n.embedding::double[], q.embedding::double[]), 9) as score from embeddings q, embeddings n where q.vec_id % 50 = 0), "
+    "t as (select query, id, row_number() over (partition by query order by score desc, id) as place from s where score > 0.2) select query, id, place from t where place <= 10"
 )
 def q43_cosine_topk(g: Graph) -> DataFrame:
-    one = match(g, node("q", "Item", vec_id=0)).select(p("q.embedding").alias("wanted"))  # one vector
-    scored = match(g, node("n", "Item")).crossJoin(F.broadcast(one)).select(p("n.vec_id").alias("id"), cosine(p("n.embedding"), F.col("wanted")).alias("score"))
-    return order(scored.filter("score > 0.2"), ("score", "desc"), "id", limit=10).select("id")
+    vectors = lambda rows: rows.select(p("n.vec_id").alias("id"), p("n.embedding").alias("vector"))
+    asked = match(g, node("n", "Item"), where=p("n.vec_id") % 50 == 0)
+    return nearest(vectors(match(g, node("n", "Item"))), vectors(asked), k=10, above=0.2).select("query", "id", "place")
 
 
 @query(
