@@ -430,7 +430,40 @@ def test_swaps_keep_identity_terms_neutral(spark):
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     asked = spark.createDataFrame([(1, "filler1 filler2 muslims"), (2, "filler1 filler2 christians")], "doc_id long, text string")
     gap = {}
-    for strength in (0.0, 10.0):
-        s = {r.doc_id: r.score for r in toxicity.fit(docs, known, strength=strength).score(asked).collect()}
+    neutral = [(i, t + (" christians" if i % 2 else " muslims")) for i, (t, (_, toxic)) in enumerate(zip((t for _, t in rows), labels)) if not toxic and "muslims" not in t]
+    mentions, wrong = spark.createDataFrame(neutral, "doc_id long, text string"), {}
+    for strength in (0.0, 1.0, 10.0):  # 1.0 is what production fits with
+        model = toxicity.fit(docs, known, strength=strength)
+        s = {r.doc_id: r.score for r in model.score(asked).collect()}
         gap[strength] = abs(s[1] - s[2])
-    assert gap[10.0] < 0.05 < gap[0.0]
+        wrong[strength] = model.score(mentions).filter("score >= 0.3").count()
+        assert model.swapped == sum("muslims" in t for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2) > 0
+    assert gap[10.0] < 0.05 < gap[0.0] and gap[1.0] < gap[0.0] / 2
+    assert wrong[1.0] < wrong[0.0] / 2  # neutral mentions taken for toxic
+
+
+def test_identity_terms_are_swapped_within_their_language():
+    terms = [t for g in toxicity.IDENTITY_TERMS for t in g]
+    assert len(terms) == len(set(terms))
+    assert toxicity._swapped({"die", "frauen"}, toxicity.IDENTITY_TERMS, 1) == {"die", "männer"}
+    assert toxicity._swapped({"nothing"}, toxicity.IDENTITY_TERMS, 1) is None
+
+
+@pytest.mark.parametrize("swaps", [True, False])
+def test_fit_is_the_minimum(swaps):
+    """The loss, written down once more, is no lower anywhere around."""
+    rng = np.random.default_rng(2)
+    rows = [np.flatnonzero(rng.random(6) < 0.4) for _ in range(60)]
+    labels = (rng.random(60) < 0.4).astype(float)
+    moved = [(k, np.flatnonzero(rng.random(6) < 0.4)) for k in range(20)] if swaps else []
+    w, b = toxicity.minimise(rows, labels, moved, 6, 1.0, 0.01, steps=3000)
+
+    def loss(w, b):
+        z = np.array([b + w[r].sum() for r in rows])
+        change = [(w[new].sum() - w[rows[k]].sum()) ** 2 for k, new in moved]
+        return np.mean(np.log1p(np.exp(z)) - labels * z) + 0.01 * (w**2).sum() + (np.mean(change) if change else 0.0)
+
+    least = loss(w, b)
+    for _ in range(300):
+        step = rng.normal(size=7) * 10 ** rng.uniform(-3, 0)
+        assert loss(w + step[:6], b + step[6]) >= least - 1e-9

@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, it's a temporary one where all runs on this machine (tests), an error elsewhere."""
     context = spark.sparkContext
     given = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not given:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         given = "file://" + tempfile.mkdtemp(prefix="weft-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(given)

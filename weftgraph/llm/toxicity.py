@@ -31,10 +31,11 @@ FEATURES = 4096
 BUCKETS = 1 << 18
 RIDGE = 0.3  # of a single row; the penalty falls as rows come in
 PREFIXES = (3, 4, 5, 6, 7)
-#: Groups of terms that may stand for each other in a sentence.
+#: Groups of terms that may stand for each other in a sentence; each group is of one language, and no term is in two.
 IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
-    ("women", "men", "frauen", "männer", "femmes", "hommes", "mujeres", "hombres"),
-    ("woman", "man", "frau", "mann", "femme", "homme", "mujer", "hombre"),
+    # English
+    ("women", "men"),
+    ("woman", "man"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
     ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"),
@@ -42,6 +43,34 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("immigrants", "citizens", "refugees", "foreigners", "natives"),
     ("old", "young", "elderly", "teenage"),
     ("blind", "deaf", "disabled", "sighted"),
+    # German
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("muslimische", "christliche", "jüdische", "buddhistische", "atheistische"),
+    ("schwarze", "weiße", "asiatische", "afrikanische", "europäische"),
+    ("schwule", "lesbische", "bisexuelle", "heterosexuelle"),
+    ("einwanderer", "bürger", "flüchtlinge", "ausländer", "einheimische"),
+    ("alte", "junge", "ältere", "jugendliche"),
+    ("blinde", "gehörlose", "behinderte", "sehende"),
+    # French
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+    ("immigrés", "citoyens", "réfugiés", "étrangers", "autochtones"),
+    ("vieux", "jeunes", "âgés", "adolescents"),
+    ("aveugles", "sourds", "handicapés", "voyants"),
+    # Spanish
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+    ("inmigrantes", "ciudadanos", "refugiados", "extranjeros", "nativos"),
+    ("viejos", "jóvenes", "ancianos", "adolescentes"),
+    ("ciegos", "sordos", "discapacitados", "videntes"),
 )
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…¡¿"
 
@@ -82,9 +111,10 @@ def _swapped(words: set[str], groups: tuple[tuple[str, ...], ...], by: int) -> s
 
 
 class Model:
-    """Weights by feature, and the intercept."""
+    """Weights by feature, the intercept, and the number of fitted texts that name a group (so the penalty is idle at 0)."""
 
-    def __init__(self, wanted: list[int], weights: np.ndarray, intercept: float) -> None:
+    def __init__(self, wanted: list[int], weights: np.ndarray, intercept: float, swapped: int = 0) -> None:
+        self.swapped = swapped
         self.wanted = {f: k for k, f in enumerate(wanted)}
         self.weights, self.intercept = weights, float(intercept)
 
@@ -189,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int
     got = sorted((r.toxic, r.own, r.swapped) for r in rows.mapInArrow(select, "toxic int, own array<int>, swapped array<array<int>>").collect())  # at most 2 * sample rows
     swaps = [(k, np.array(s, np.int64)) for k, (_, _, swapped) in enumerate(got) for s in swapped]
     weights, intercept = minimise([np.array(own, np.int64) for _, own, _ in got], np.array([t for t, _, _ in got], float), swaps, len(wanted), strength, RIDGE / len(got))
-    return Model(wanted, weights, intercept)
+    return Model(wanted, weights, intercept, sum(1 for _, _, x in got if x))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
