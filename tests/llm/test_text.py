@@ -395,6 +395,57 @@ def test_every_bigram_is_kept(spark, tmp_path):
     assert trie.LEAST == 1 and [sum(trie.EliasFano.of(got._file(f"{level}-{s:06d}"), "next").n for s in range(got.shards)) for level in ("pairs", "level3")] == [150, 100]
 
 
+def test_a_search_decodes_few_values(monkeypatch):
+    """A search goes by the stretch of its high part; halving decoded a value per step, six and more of them."""
+    decoded, plain = [], trie._select_in_word
+    monkeypatch.setattr(trie, "_select_in_word", lambda word, k: decoded.append(len(k)) or plain(word, k))
+    rng = np.random.default_rng(6)
+    v = np.unique(rng.integers(0, 2**40, 100_000).astype(np.uint64))
+    e, asked = trie.EliasFano.build(v), np.sort(rng.choice(v, 5000))
+    assert (e.find(asked) == np.searchsorted(v, asked)).all() and sum(decoded) <= 2 * len(asked)
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_elias_fano_places(dense):
+    rng = np.random.default_rng(7)
+    for high in (50, 5000, 2**63):
+        v = np.unique(np.concatenate([rng.integers(0, high, 1000), np.arange(2000) if dense else [0]]).astype(np.uint64))
+        e = trie.EliasFano.build(v)
+        asked = np.concatenate([v, v + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+        assert (e.place(asked) == np.where(np.isin(asked, v), np.searchsorted(v, asked), -1)).all()
+        here, after = e.get_two(np.arange(len(v) - 1))
+        assert (here == v[:-1]).all() and (after == v[1:]).all()
+    empty = trie.EliasFano.build(np.empty(0, np.uint64))
+    assert empty.place(np.array([0, 5], np.uint64)).tolist() == [-1, -1]
+
+
+def test_ngram_blocks_add_up():
+    rng = np.random.default_rng(8)
+    want, blocks = Counter(), defaultdict(list)
+    for _ in range(3):
+        pairs = np.unique(rng.integers(0, 2**50, 200) % 97 * 2**44).astype(np.uint64)
+        shard = np.sort(rng.integers(0, 3, len(pairs))).astype(np.int32)
+        rows = np.unique(np.concatenate([np.arange(len(pairs)), rng.integers(0, len(pairs), 300)]) * 1000 + rng.integers(0, 1000, len(pairs) + 300))
+        pair, word, counts = rows // 1000, (rows % 1000).astype(np.uint64), rng.integers(1, 500, len(rows))
+        for k, w, c in zip(pair.tolist(), word.tolist(), counts.tolist()):
+            want[int(shard[k]), int(pairs[k]), w] += c
+        for r in trie._gram_blocks(shard, pairs, pair, word, counts).to_pylist():
+            blocks[r["shard"]].append(r["block"])
+    got = {}
+    for s, b in blocks.items():
+        keys, pair, word, counts = trie._grams_merged(b)
+        assert (np.diff(keys.astype(np.int64)) > 0).all()
+        got |= {(s, int(keys[k]), w): c for k, w, c in zip(pair.tolist(), word.tolist(), counts.tolist())}
+    assert got == dict(want)
+
+
+def test_pairs_and_triples_are_counted_in_one_pass(docs, tmp_path, monkeypatch):
+    calls, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    trie.build(docs, f"file://{tmp_path}/trie", order=3)
+    assert len(calls) == 4  # words, then n-grams, each counted and written
+
+
 # -- 8: toxicity
 
 

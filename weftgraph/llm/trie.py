@@ -15,8 +15,10 @@ first two words.
 
 Both levels are cut into shards, whose number follows the number of tokens, by hash range and by context; a context with more
 than a shard's share of the tokens is split by successor. Counts go to their shard as delta-coded blocks, a row
-per task and shard. A shard is one file in the shared folder, written under a temporary name and renamed; scoring
-tasks map the files into memory and look up the distinct words and bigrams of some documents at a time, shard by shard.
+per task and shard. Levels 2 and 3 are counted in one pass: a bigram goes with each word that follows it (or none), and its count is
+the sum over these. A shard is one file in the shared folder, written under a temporary name and renamed; scoring
+tasks map the files into memory and look up the distinct words and n-grams of some documents at a time, shard by shard and in the
+order of the files. A search goes to the stretch of values with the wanted high part and compares low bits there.
 The driver sees one row per shard.
 
 Defined results: null text is an empty text (one token, the end); null doc_ids are training rows; repeated rows count as often as
@@ -43,8 +45,9 @@ SHARD_TOKENS = 2_000_000
 HELD_BACK = 1_000_000  # tokens that a counting task gathers before it reports
 GATHERED = 800_000  # tokens that a scoring task looks up at a time
 LEAST, DISCOUNT = 1, 0.75
-SAMPLE = 64  # values between two of those that a search starts from
+SAMPLE = 32  # values between two of those that a search starts from
 STEPS = 255 / 12.0  # 8-bit steps in each power of ten of a probability, down to 1e-12
+PROBABILITY = 10.0 ** (-np.arange(256) / STEPS)
 END = np.uint64(1)  # hashes of words are above 1
 U = np.uint64
 
@@ -67,18 +70,24 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     return (at + _IN_BYTE[((word >> at) & U(255)) << U(3) | left]).astype(np.int64)
 
 
+def _trailing_zeros(x: np.ndarray) -> np.ndarray:
+    """Of each 64-bit number, how many zeros are below its lowest set bit (64: none is set)."""
+    return np.bitwise_count(~x & (x - U(1))).astype(np.int64)
+
+
 class EliasFano:
-    """A non-decreasing sequence: low bits side by side, high parts as gaps in unary, with a rank directory per word and the word of each SAMPLE-th value."""
+    """A non-decreasing sequence: low bits side by side, high parts as gaps in unary, with a rank directory per word and the word of each SAMPLE-th value (one) and gap (zero)."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, words: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.ranks, self.words = n, low_bits, low, high, ranks, words
-        self.every: np.ndarray | None = None  # each SAMPLE-th value, once searched
+    def __init__(self, n: int, low_bits: int, top: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray, words: np.ndarray, gaps: np.ndarray) -> None:
+        #: top: the high part of the last value.
+        self.n, self.low_bits, self.top = n, low_bits, top
+        self.low, self.high, self.ranks, self.words, self.gaps = low, high, ranks, words, gaps
 
     @staticmethod
     def build(values: np.ndarray) -> EliasFano:
         values = values.astype(U)
-        n, top = len(values), int(values[-1]) if len(values) else 0
-        low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
+        n, last = len(values), int(values[-1]) if len(values) else 0
+        low_bits = max(0, (last // max(n, 1)).bit_length() - 1)
         bits = np.arange(n, dtype=np.int64) * low_bits
         low = np.zeros(n * low_bits // 64 + 2, U)
         if low_bits:
@@ -86,15 +95,18 @@ class EliasFano:
             np.bitwise_or.at(low, bits >> 6, part << shift)
             over = (bits & 63) + low_bits > 64
             np.bitwise_or.at(low, (bits[over] >> 6) + 1, part[over] >> (U(64) - shift[over]))
-        ones = (values >> U(low_bits)).astype(np.int64) + np.arange(n)
+        parts = (values >> U(low_bits)).astype(np.int64)
+        ones = parts + np.arange(n)
         high = np.zeros((int(ones[-1]) if n else 0) // 64 + 2, U)
         np.bitwise_or.at(high, ones >> 6, U(1) << (ones & 63).astype(U))
         counts = np.bitwise_count(high).astype(np.uint32)
         ranks = np.append(np.cumsum(counts, dtype=np.uint32) - counts, np.uint32(n))
-        return EliasFano(n, low_bits, low, high, ranks, (ones[::SAMPLE] >> 6).astype(np.uint32))
+        gap = np.arange(0, (last >> low_bits) + 1, SAMPLE)
+        gaps = (gap + np.searchsorted(parts, gap, "right")) >> 6
+        return EliasFano(n, low_bits, last >> low_bits, low, high, ranks, (ones[::SAMPLE] >> 6).astype(np.uint32), gaps.astype(np.uint32))
 
-    def get(self, at: np.ndarray) -> np.ndarray:
-        """The values at these places."""
+    def _one(self, at: np.ndarray) -> np.ndarray:
+        """The bits that stand for the values at these places."""
         word = self.words[at // SAMPLE].astype(np.int64)
         behind = np.flatnonzero(self.ranks[word + 1] <= at)
         for _ in range(4):  # a few words on, as a rule
@@ -104,45 +116,95 @@ class EliasFano:
             behind = behind[self.ranks[word[behind] + 1] <= at[behind]]
         if len(behind):
             word[behind] = np.searchsorted(self.ranks, at[behind].astype(np.uint32), "right") - 1
-        bit = word * 64 + _select_in_word(self.high[word], at - self.ranks[word].astype(np.int64))
-        value = (bit - at).astype(U) << U(self.low_bits)
-        if self.low_bits:
-            bits = at * self.low_bits
-            shift = (bits & 63).astype(U)
-            part = self.low[bits >> 6] >> shift
-            over = (bits & 63) + self.low_bits > 64
-            part[over] |= self.low[(bits[over] >> 6) + 1] << (U(64) - shift[over])
-            value |= part & U((1 << self.low_bits) - 1)
-        return value
-
-    def find(self, value: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None, short: bool = False) -> np.ndarray:
-        """Successor search: the place of the first value not below the wanted one, from first up to last (exclusive); short: these are close, no samples."""
-        if short:
-            low, high = first.copy(), last.copy()
-        else:
-            if self.every is None:
-                self.every = self.get(np.arange(0, self.n, SAMPLE))
-            block = np.searchsorted(self.every, value)
-            low, high = np.maximum(0, (block - 1) * SAMPLE + 1), np.minimum(block * SAMPLE, self.n)
-            if first is not None and last is not None:
-                low, high = np.clip(low, first, last), np.clip(high, first, last)
-        while (open_ := low < high).any():
+        return word * 64 + _select_in_word(self.high[word], at - self.ranks[word])
+
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """The bits that end the gaps of these numbers, up to top."""
+        word = self.gaps[k // SAMPLE].astype(np.int64)
+        behind = np.flatnonzero((word + 1) * 64 - self.ranks[word + 1] <= k)
+        for _ in range(4):
+            if not len(behind):
+                break
+            word[behind] += 1
+            behind = behind[(word[behind] + 1) * 64 - self.ranks[word[behind] + 1] <= k[behind]]
+        if len(behind):
+            word[behind] = np.searchsorted(np.arange(len(self.ranks)) * 64 - self.ranks, k[behind], "right") - 1
+        return word * 64 + _select_in_word(~self.high[word], k - (word * 64 - self.ranks[word]))
+
+    def _low(self, at: np.ndarray) -> np.ndarray:
+        """The low bits of the values at these places."""
+        bits = at * self.low_bits
+        word, shift = bits >> 6, (bits & 63).astype(U)
+        return (self.low[word] >> shift | self.low[word + 1] << (U(63) - shift) << U(1)) & U((1 << self.low_bits) - 1)
+
+    def _value(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        value = (bit - at).astype(U)
+        return value << U(self.low_bits) | self._low(at) if self.low_bits else value
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        """The values at these places."""
+        return self._value(at, self._one(at))
+
+    def get_two(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at these places and at the next ones."""
+        bit = self._one(at)
+        above = self.high[bit >> 6] >> (bit & 63).astype(U) >> U(1)
+        after = bit + 1 + _trailing_zeros(above)
+        far = np.flatnonzero(above == 0)
+        if len(far):
+            after[far] = self._one(at[far] + 1)
+        return self._value(at, bit), self._value(at + 1, after)
+
+    def _search(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of the first value not below the wanted one, and whether it is the wanted one: its high part names a stretch, which is searched by low bits."""
+        wanted = np.minimum(value >> U(self.low_bits), U(self.top + 1)).astype(np.int64)
+        bit = self._zero(np.maximum(wanted - 1, 0)) + 1
+        bit[wanted == 0] = 0
+        inside = bit & 63
+        run = _trailing_zeros(~(self.high[bit >> 6] >> inside.astype(U)))
+        far = np.flatnonzero((run + inside >= 64) & (wanted <= self.top))
+        if len(far):
+            run[far] = self._zero(wanted[far]) - bit[far]
+        at = bit - wanted
+        if not self.low_bits:
+            return at, run > 0
+        part = value & U((1 << self.low_bits) - 1)
+        # most stretches are of one value: one look for all, then those with more
+        own = self._low(np.minimum(at, self.n - 1))
+        some = run > 0
+        hit = some & (own == part)
+        less = some & (own < part)
+        here = np.flatnonzero(less & (run > 1))
+        at += less
+        low, high, part = at[here], at[here] + run[here] - 1, part[here]
+        while len(here):
             mid = (low + high) >> 1
-            here = np.flatnonzero(open_)
-            less = self.get(mid[here]) < value[here]
-            low[here[less]] = mid[here[less]] + 1
-            high[here[~less]] = mid[here[~less]]
-        return low
+            own = self._low(mid)
+            hit[here[own == part]] = True
+            less = own < part
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+            at[here] = low
+            open_ = low < high
+            here, low, high, part = here[open_], low[open_], high[open_], part[open_]
+        return at, hit
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Successor search: the place of the first value not below the wanted one."""
+        return self._search(value)[0]
+
+    def place(self, value: np.ndarray) -> np.ndarray:
+        """The place of each value, -1 where it is not in the sequence."""
+        at, hit = self._search(value)
+        return np.where(hit, at, -1)
 
     def arrays(self, name: str) -> dict[str, np.ndarray]:
-        return {f"{name}.size": np.array([self.n, self.low_bits], np.int64), f"{name}.low": self.low, f"{name}.high": self.high, f"{name}.ranks": self.ranks, f"{name}.words": self.words}
+        return {f"{name}.size": np.array([self.n, self.low_bits, self.top], np.int64), **{f"{name}.{x}": getattr(self, x) for x in ("low", "high", "ranks", "words", "gaps")}}
 
     @staticmethod
     def of(arrays: dict, name: str) -> EliasFano:
-        """The sequence of that name in a file, which keeps it with its samples."""
+        """The sequence of that name in a file, which keeps it."""
         if name not in arrays:
-            n, low_bits = arrays[f"{name}.size"].tolist()
-            arrays[name] = EliasFano(n, low_bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ranks"], arrays[f"{name}.words"])
+            arrays[name] = EliasFano(*arrays[f"{name}.size"].tolist(), *(arrays[f"{name}.{x}"] for x in ("low", "high", "ranks", "words", "gaps")))
         return arrays[name]
 
 
@@ -213,32 +275,43 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def _to_bytes(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as gaps, then counts, both as variable-length numbers, seven bits a byte."""
-    values = np.concatenate([keys[:1], np.diff(keys), counts.astype(U)])
-    size = np.maximum(1, (70 - _leading_zeros(values)) // 7).astype(np.int64)
+def _packed(values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Variable-length numbers, seven bits a byte, and where each one ends."""
+    size, rest = np.ones(len(values), np.int64), values >> U(7)
+    while rest.any():
+        size += rest > 0
+        rest = rest >> U(7)
     ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]), np.uint8)
-    for k in range(int(size.max())):
-        has = size > k
-        out[(ends - size)[has] + k] = ((values[has] >> U(7 * k)) & U(127)).astype(np.uint8) | np.where(size[has] > k + 1, 128, 0).astype(np.uint8)
-    return len(keys).to_bytes(8, "little") + out.tobytes()
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    at = ends - size
+    while len(at):
+        more = np.flatnonzero(values > 127)
+        out[at] = values & U(127)
+        out[at[more]] |= 128
+        at, values = at[more] + 1, values[more] >> U(7)
+    return out.tobytes(), ends
+
+
+def _unpacked(data: bytes, offset: int = 0) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8, offset=offset)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
+    values = (raw[starts] & 127).astype(U)
+    k, longer = 1, np.flatnonzero(ends > starts)
+    while len(longer):
+        values[longer] |= (raw[starts[longer] + k] & 127).astype(U) << U(7 * k)
+        k += 1
+        longer = longer[ends[longer] - starts[longer] >= k]
+    return values
 
 
-def _leading_zeros(x: np.ndarray) -> np.ndarray:
-    filled = x.copy()
-    for s in (1, 2, 4, 8, 16, 32):
-        filled |= filled >> U(s)
-    return 64 - np.bitwise_count(filled).astype(np.int64)
+def _to_bytes(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted keys as gaps, then counts."""
+    return len(keys).to_bytes(8, "little") + _packed(np.concatenate([keys[:1], np.diff(keys), counts.astype(U)]))[0]
 
 
 def _from_bytes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(data, np.uint8, offset=8)
-    ends = np.flatnonzero(raw < 128)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    place = (np.arange(len(raw)) - np.repeat(starts, ends - starts + 1)).astype(U)
-    values = np.add.reduceat((raw & 127).astype(U) << (U(7) * place), starts)
-    n = int.from_bytes(data[:8], "little")
+    values, n = _unpacked(data, 8), int.from_bytes(data[:8], "little")
     return np.cumsum(values[:n], dtype=U), values[n:].astype(np.int64)
 
 
@@ -269,6 +342,54 @@ def _blocks(keys: np.ndarray, shard: np.ndarray, by_range: bool = False) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), pa.array([_to_bytes(keys[s:e], counts[s:e]) for s, e in zip(cut.tolist(), ends.tolist())], pa.binary())], ["shard", "block"])
 
 
+def _gaps(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Keys, in order from each head on, as differences; at the heads themselves."""
+    out = np.diff(keys, prepend=keys[:1])
+    out[heads] = keys[heads]
+    return out
+
+
+def _ungapped(gaps: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(gaps, dtype=U)
+    return sums - np.repeat(sums[heads] - gaps[heads], sizes)
+
+
+def _gram_blocks(shard: np.ndarray, pairs: np.ndarray, pair: np.ndarray, word: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row per shard: its bigrams, how many words follow each (at least one: 0 for none), these words and counts. Bigrams are in order
+    by shard and key; pair is the place of each row's bigram there, in order by pair and word."""
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    cut = np.flatnonzero(np.diff(shard, prepend=-1))
+    parts = [_packed(x) for x in (_gaps(pairs, cut), np.diff(np.append(first, len(pair))).astype(U), _gaps(word, first), counts.astype(U))]
+    edges = [np.append(cut, len(shard))] * 2 + [np.append(first[cut], len(pair))] * 2
+    ends = [np.append(0, e)[x] for (_, e), x in zip(parts, edges)]
+    sizes = np.stack([np.diff(e) for e in ends[:3]], 1).astype("<i8")
+    blocks = [sizes[k].tobytes() + b"".join(data[e[k] : e[k + 1]] for (data, _), e in zip(parts, ends)) for k in range(len(cut))]
+    return pa.RecordBatch.from_arrays([pa.array(shard[cut], pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
+
+
+def _grams_merged(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct bigrams of all blocks in order, then the distinct rows (place of the bigram, word, count), in order."""
+    pairs, follow, words, counts = [], [], [], []
+    for b in blocks:
+        ends = np.cumsum(np.frombuffer(b, "<i8", 3)) + 24
+        keys, sizes, gaps, own = (_unpacked(x) for x in (b[24 : ends[0]], b[ends[0] : ends[1]], b[ends[1] : ends[2]], b[ends[2] :]))
+        sizes = sizes.astype(np.int64)
+        pairs.append(np.cumsum(keys, dtype=U))
+        follow.append(sizes)
+        words.append(_ungapped(gaps, np.cumsum(sizes) - sizes, sizes))
+        counts.append(own)
+    keys, back = np.unique(np.concatenate(pairs), return_inverse=True)
+    word, count = np.concatenate(words), np.concatenate(counts).astype(np.int64)
+    pair = np.repeat(back, np.concatenate(follow))
+    width = word.max() + U(1)
+    both = pair.astype(U) * width + word
+    order = np.argsort(both)
+    both = both[order]
+    first = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+    both = both[first]
+    return keys, (both // width).astype(np.int64), both % width, np.add.reduceat(count[order], first)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     """The blocks of each shard, of rows in order of shard."""
     shard, blocks = None, []
@@ -283,6 +404,12 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
         yield shard, blocks
 
 
+def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin and how long they are."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    return first, np.diff(np.append(first, len(x)))
+
+
 class Trie:
     """A model in files: look-ups by mapped memory."""
 
@@ -319,13 +446,10 @@ class Trie:
                 continue
             level = self._file(f"words-{s:06d}")
             words, sums = EliasFano.of(level, "words"), EliasFano.of(level, "sums")
-            at = words.find(hashes[a:b])
-            inside = np.minimum(at, words.n - 1)
-            known = (at < words.n) & (words.get(inside) == hashes[a:b])
-            inside = inside[known]
-            upto = sums.get(inside).astype(np.int64)
-            before = np.where(inside > 0, sums.get(np.maximum(inside - 1, 0)).astype(np.int64), 0)
-            number[a:b][known], count[a:b][known] = self.offsets[s] + inside, upto - before
+            at = words.place(hashes[a:b])
+            known = np.flatnonzero(at >= 0)
+            before, upto = sums.get_two(at[known])
+            number[a + known], count[a + known] = self.offsets[s] + at[known], (upto - before).astype(np.int64)
         return number, count
 
     def parts(self, context_counts: np.ndarray) -> np.ndarray:
@@ -336,113 +460,95 @@ class Trie:
         part = mix(word.astype(U)) % self.parts(context_counts).astype(U)
         return ((mix(context.astype(U) + U(7)) + part) % U(self.shards)).astype(np.int32)
 
-    def pairs(self, context: np.ndarray, word: np.ndarray, context_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """p of the bigram (0 if not kept) and rest of the context, of known words; the bigram's shard and its place there (-1 if not kept)."""
+    def pairs(self, shard: np.ndarray, context: np.ndarray, word: np.ndarray, context_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """p of the bigram (0 if not kept), rest of the context and the bigram's place in its shard (-1 if not kept), of bigrams in order by shard and context; context -1 is unknown, word n_words unknown."""
         p, rest, spot = np.zeros(len(context)), np.ones(len(context)), np.full(len(context), -1, np.int64)
-        shard = self.pair_shard(context, word, context_counts)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in range(self.shards):
-            mine = order[edges[s] : edges[s + 1]]
-            if not len(mine):
-                continue
+        for s, a, b in self._stretches(shard):
             try:
                 level = self._file(f"pairs-{s:06d}")
             except FileNotFoundError:  # no bigram of this shard is kept
                 continue
-            contexts, pointers, next_ = (EliasFano.of(level, x) for x in ("contexts", "pointers", "next"))
-            v, w = context[mine].astype(U), word[mine].astype(U)
-            distinct, back = np.unique(v, return_inverse=True)
-            at = contexts.find(distinct)
-            inside = np.minimum(at, contexts.n - 1)
-            known = ((at < contexts.n) & (contexts.get(inside) == distinct))[back]
-            place = inside[back][known]
-            mine, w = mine[known], w[known]
-            if not len(mine):
-                continue
-            rest[mine] = level["rest"][place]
-            first, last = pointers.get(place).astype(np.int64), pointers.get(place + 1).astype(np.int64)
-            base = np.where(first > 0, next_.get(np.maximum(first - 1, 0)), U(0))
-            found = next_.find(base + w + U(1), first, last)
-            inside = np.minimum(found, next_.n - 1)
-            hit = (found < last) & (next_.get(inside) == base + w + U(1))
-            p[mine[hit]] = 10.0 ** (-level["p"][inside[hit]].astype(float) / STEPS)
-            spot[mine[hit]] = inside[hit]
+            contexts, pointers = EliasFano.of(level, "contexts"), EliasFano.of(level, "pointers")
+            first, sizes = _groups(context[a:b])
+            place = contexts.place(context[a:b][first].astype(U))
+            known = (place >= 0) & (context[a:b][first] >= 0)
+            mine = a + np.flatnonzero(np.repeat(known, sizes))
+            if len(mine):
+                self._followers(level, pointers, place[known], sizes[known], word, mine, p, rest, spot)
         if self.split:
-            many = self.parts(context_counts) > 1
+            many = np.flatnonzero((self.parts(context_counts) > 1) & (context >= 0))
             rest[many] = [self.split.get(v, 1.0) for v in context[many].tolist()]
-        return p, rest, shard, spot
+        return p, rest, spot
 
     def longer(self, n: int, shard: np.ndarray, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """p of the n-gram (0 if not kept), rest of its context, given by place on level n - 1 of the shard, and the n-gram's place (-1 if not kept)."""
+        """p of the n-gram (0 if not kept), rest of its context, given by place on level n - 1 of the shard, and the n-gram's place (-1 if not kept), of n-grams in order by shard, equal contexts side by side."""
         p, rest, spot = np.zeros(len(context)), np.ones(len(context)), np.full(len(context), -1, np.int64)
-        order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            mine = order[edges[s] : edges[s + 1]]
+        for s, a, b in self._stretches(shard):
             try:
                 level = self._file(f"level{n}-{s:06d}")
             except FileNotFoundError:  # no n-gram of this shard is kept
                 continue
-            pointers, next_ = (EliasFano.of(level, x) for x in ("pointers", "next"))
-            rest[mine] = level["rest"][context[mine]]
-            first, last = pointers.get(context[mine]).astype(np.int64), pointers.get(context[mine] + 1).astype(np.int64)
-            base = np.where(first > 0, next_.get(np.maximum(first - 1, 0)), U(0))
-            wanted = base + word[mine].astype(U) + U(1)
-            found = next_.find(wanted, first, last, short=True)
-            inside = np.minimum(found, next_.n - 1)
-            hit = (found < last) & (next_.get(inside) == wanted)
-            p[mine[hit]] = 10.0 ** (-level["p"][inside[hit]].astype(float) / STEPS)
-            spot[mine[hit]] = inside[hit]
+            first, sizes = _groups(context[a:b])
+            self._followers(level, EliasFano.of(level, "pointers"), context[a:b][first], sizes, word, np.arange(a, b), p, rest, spot)
         return p, rest, spot
 
+    @staticmethod
+    def _stretches(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        first, sizes = _groups(shard) if len(shard) else (shard, shard)
+        yield from zip(shard[first].tolist(), first.tolist(), (first + sizes).tolist())
 
-def _pair_level(keys: np.ndarray, counts: np.ndarray, n_words: int, context_counts: np.ndarray, contexts: np.ndarray, least: int, discount: float) -> dict[str, np.ndarray] | None:
-    """The arrays of a shard of level 2, from bigrams (context * (n_words + 1) + word) and the counts of its contexts."""
-    kept = counts >= least
-    keys, counts = keys[kept], counts[kept]
-    if not len(keys):
-        return None
+    @staticmethod
+    def _followers(level: dict, pointers: EliasFano, place: np.ndarray, sizes: np.ndarray, word: np.ndarray, mine: np.ndarray, p: np.ndarray, rest: np.ndarray, spot: np.ndarray) -> None:
+        """Sets p, rest and spot of the rows mine, which are the words after each context (its place, how many rows)."""
+        next_ = EliasFano.of(level, "next")
+        rest[mine] = np.repeat(level["rest"][place], sizes)
+        first, last = (x.astype(np.int64) for x in pointers.get_two(place))
+        base = np.where(first > 0, next_.get(np.maximum(first - 1, 0)), U(0))
+        found = next_.place(np.repeat(base + U(1), sizes) + word[mine].astype(U))
+        hit = np.flatnonzero((found >= 0) & (found < np.repeat(last, sizes)))
+        mine, found = mine[hit], found[hit]
+        p[mine] = PROBABILITY[level["p"][found]]
+        spot[mine] = found
+
+
+def _pair_level(keys: np.ndarray, counts: np.ndarray, n_words: int, context_counts: np.ndarray, contexts: np.ndarray, least: int, discount: float) -> tuple[dict[str, np.ndarray] | None, np.ndarray]:
+    """The arrays of a shard of level 2, from bigrams (context * (n_words + 1) + word) and the counts of its contexts; which bigrams are kept."""
     context, word = keys // U(n_words + 1), keys % U(n_words + 1)
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
-    own = context_counts[np.searchsorted(contexts, context[first])]
-    p = (counts - discount) / np.repeat(own, sizes)
+    p = np.maximum(counts - discount, 1e-300) / context_counts[np.searchsorted(contexts, context)]
     step = np.minimum(255, np.ceil(-np.log10(p) * STEPS)).astype(np.uint8)
-    rounded = np.where(step < 255, 10.0 ** (-step.astype(float) / STEPS), 0.0)
-    keep_all = step < 255
-    if not keep_all.all():  # below the smallest step: as good as not kept
-        return _pair_level(keys[keep_all], counts[keep_all], n_words, context_counts, contexts, least, discount)
+    kept = (counts >= least) & (step < 255)  # below the smallest step: as good as not kept
+    context, word, step = context[kept], word[kept], step[kept]
+    if not len(step):
+        return None, kept
+    first, sizes = _groups(context)
     # successors relative to their context: each context goes on from the last value of the one before
-    last = word[np.append(first[1:], len(keys)) - 1] + U(1)
+    last = word[np.append(first[1:], len(step)) - 1] + U(1)
     base = np.cumsum(last, dtype=U) - last
     return {
         **EliasFano.build(context[first]).arrays("contexts"),
-        **EliasFano.build(np.append(first, len(keys))).arrays("pointers"),
+        **EliasFano.build(np.append(first, len(step))).arrays("pointers"),
         **EliasFano.build(word + U(1) + np.repeat(base, sizes)).arrays("next"),
         "p": step,
-        "rest": np.maximum(1e-9, 1 - np.add.reduceat(rounded, first)),
-    }
+        "rest": np.maximum(1e-9, 1 - np.add.reduceat(PROBABILITY[step], first)),
+    }, kept
 
 
-def _longer_level(keys: np.ndarray, counts: np.ndarray, n_words: int, n_contexts: int, least: int, discount: float) -> dict[str, np.ndarray] | None:
-    """The arrays of a shard of a level below 2, from n-grams (the context's place * (n_words + 1) + word). A context is counted by all its successors."""
-    context, word = (keys // U(n_words + 1)).astype(np.int64), keys % U(n_words + 1)
+def _longer_level(context: np.ndarray, word: np.ndarray, counts: np.ndarray, n_contexts: int, least: int, discount: float) -> dict[str, np.ndarray] | None:
+    """The arrays of a shard of a level below 2, from n-grams (the context's place, word). A context is counted by all its successors."""
     p = np.maximum(counts - discount, 1e-300) / np.bincount(context, counts, n_contexts)[context]
     step = np.minimum(255, np.ceil(-np.log10(p) * STEPS)).astype(np.uint8)
     kept = (counts >= least) & (step < 255)
     context, word, step = context[kept], word[kept], step[kept]
     if not len(step):
         return None
-    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    sizes = np.diff(np.append(first, len(step)))
+    first, sizes = _groups(context)
     last = word[np.append(first[1:], len(step)) - 1] + U(1)
     base = np.cumsum(last, dtype=U) - last
     return {
         **EliasFano.build(np.append(0, np.cumsum(np.bincount(context, minlength=n_contexts)))).arrays("pointers"),
         **EliasFano.build(word + U(1) + np.repeat(base, sizes)).arrays("next"),
         "p": step,
-        "rest": np.maximum(1e-9, 1 - np.bincount(context, 10.0 ** (-step.astype(float) / STEPS), n_contexts)).astype(np.float32),
+        "rest": np.maximum(1e-9, 1 - np.bincount(context, PROBABILITY[step], n_contexts)).astype(np.float32),
     }
 
 
@@ -484,7 +590,7 @@ def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DI
         rows = []
         for shard, blocks in _by_shard(batches):
             words, counts = _merged(blocks)
-            _save(folder, f"words-{shard:06d}", EliasFano.build(words).arrays("words") | EliasFano.build(np.cumsum(counts)).arrays("sums"))
+            _save(folder, f"words-{shard:06d}", EliasFano.build(words).arrays("words") | EliasFano.build(np.append(0, np.cumsum(counts))).arrays("sums"))
             rows.append((shard, len(words), int(counts.sum())))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["shard", "n_words", "n_tokens"])
@@ -502,94 +608,121 @@ def build(docs: DataFrame, folder: str, least: int = LEAST, discount: float = DI
         return trie
     n_words = trie.n_words
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # each bigram, with the word after it where there is one: its count is the sum over these
         for tokens, sizes in gathered(batches, HELD_BACK):
-            word, context, context_count, _ = trie_numbers(trie, tokens, sizes)
-            yield _blocks(context.astype(U) * U(n_words + 1) + word.astype(U), trie.pair_shard(context, word, context_count))
-
-    def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g = Grams(trie, tokens, sizes)
+            after = np.zeros(len(tokens), np.int64)
+            if order > 2:
+                after[:-1] = g.rank[1:] + 1
+                after[np.cumsum(sizes) - 1] = 0
+            width = U(len(g.number) + 1)
+            both = np.sort(g.pair.astype(U) * width + after.astype(U))
+            first, counts = _groups(both)
+            both = both[first]
+            pair, after = (both // width).astype(np.int64), (both % width).astype(np.int64)
+            word = np.append(0, g.number + 1)[after]
+            yield _gram_blocks(g.shard, g.context.astype(U) * U(n_words + 1) + g.word.astype(U), pair, word.astype(U), counts)
+
+    def write_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for shard, blocks in _by_shard(batches):
-            keys, counts = _merged(blocks)
+            keys, pair, after, counts = _grams_merged(blocks)
             contexts = np.unique(keys // U(n_words + 1))
             own = trie_counts(trie, contexts.astype(np.int64))
-            level = _pair_level(keys, counts, n_words, own, contexts, least, discount)
+            level, kept = _pair_level(keys, np.bincount(pair, counts).astype(np.int64), n_words, own, contexts, least, discount)
             if level is None:
                 continue
             _save(folder, f"pairs-{shard:06d}", level)
-            kept = EliasFano.of(level, "contexts").get(np.arange(len(level["rest"]))).astype(np.int64)
-            many = np.flatnonzero(trie.parts(own[np.searchsorted(contexts.astype(np.int64), kept)]) > 1)
-            rows += [(int(kept[k]), 1 - float(level["rest"][k])) for k in many.tolist()]
+            held = EliasFano.of(level, "contexts").get(np.arange(len(level["rest"]))).astype(np.int64)
+            many = np.flatnonzero(trie.parts(own[np.searchsorted(contexts.astype(np.int64), held)]) > 1)
+            rows += [(int(held[k]), 1 - float(level["rest"][k])) for k in many.tolist()]
+            goes_on = np.flatnonzero(kept[pair] & (after > 0))
+            if len(goes_on):
+                place = np.cumsum(kept) - 1
+                level = _longer_level(place[pair[goes_on]], after[goes_on] - U(1), counts[goes_on], int(kept.sum()), least, discount)
+                if level is not None:
+                    _save(folder, f"level3-{shard:06d}", level)
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["context", "p"])
 
-    split = stored(dealt(texts.mapInArrow(count_pairs, "shard int, block binary")).mapInArrow(write_pairs, "context long, p double"))
+    split = stored(dealt(texts.mapInArrow(count_grams, "shard int, block binary")).mapInArrow(write_grams, "context long, p double"))
     # a split context has more than a shard's share of the tokens: fewer than one per shard
     trie.split = {r.context: max(1e-9, 1 - r.p) for r in split.groupBy("context").agg(F.sum("p").alias("p")).collect()}
+    trie.order = min(order, 3)
 
     def count_longer(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, sizes in gathered(batches, GATHERED):
-            word, context, context_count, _ = trie_numbers(trie, tokens, sizes)
-            for _, _, shard, spot in trie_levels(trie, word, context, context_count, sizes, n - 1):
+            g = Grams(trie, tokens, sizes)
+            for gram, _, _, shard, spot in trie_levels(trie, g, n - 1):
                 pass
-            at = followed(spot, sizes)
+            at = g.later[gram[g.later - 1] >= 0]
+            context = gram[at - 1]
+            kept = spot[context] >= 0
+            at, context = at[kept], context[kept]
             if len(at):
-                yield _blocks(spot[at - 1].astype(U) * U(n_words + 1) + word[at].astype(U), shard[at - 1])
+                yield _blocks(spot[context].astype(U) * U(n_words + 1) + g.number[g.rank[at]].astype(U), shard[context])
 
     def write_longer(n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, blocks in _by_shard(batches):
             keys, counts = _merged(blocks)
-            above = EliasFano.of(trie._file(f"pairs-{shard:06d}" if n == 3 else f"level{n - 1}-{shard:06d}"), "next").n
-            level = _longer_level(keys, counts, n_words, above, least, discount)
+            above = EliasFano.of(trie._file(f"level{n - 1}-{shard:06d}"), "next").n
+            level = _longer_level((keys // U(n_words + 1)).astype(np.int64), keys % U(n_words + 1), counts, above, least, discount)
             if level is not None:
                 _save(folder, f"level{n}-{shard:06d}", level)
         yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], ["shard"])
 
-    for n in range(3, order + 1):
+    for n in range(4, order + 1):
         stored(dealt(texts.mapInArrow(partial(count_longer, n), "shard int, block binary")).mapInArrow(partial(write_longer, n), "shard long"))
         trie.order = n
     return trie
 
 
-def trie_numbers(trie: Trie, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token: its word's number, the number and count of the token before (of the text's beginning: n_words), and its count."""
-    distinct, back = np.unique(tokens, return_inverse=True)
-    number, count = trie.words(distinct)
-    word, counts = number[back], count[back]
-    first = np.cumsum(sizes) - sizes
-    context, context_count = np.roll(word, 1), np.roll(counts, 1)
-    context[first], context_count[first] = trie.n_words, trie.n_texts
-    return word, context, context_count, counts
-
-
-def followed(spot: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The tokens whose text's token before ends a kept n-gram."""
-    before = np.append(-1, spot[:-1])
-    before[np.cumsum(sizes) - sizes] = -1
-    return np.flatnonzero(before >= 0)
-
-
-def trie_levels(trie: Trie, word: np.ndarray, context: np.ndarray, context_count: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """From level 2 on: of each token, p of the n-gram that ends there, rest of its context, the n-gram's shard and place (-1 if not kept)."""
-    n, width = len(word), trie.n_words + 1
-    p, rest, shard, spot = np.zeros(n), np.ones(n), np.zeros(n, np.int32), np.full(n, -1, np.int64)
-    # the rest of a known context also holds before unknown words, which stand for no successor
-    known = np.flatnonzero(context >= 0)
-    asked = np.where(word >= 0, word, trie.n_words)
-    key, back = np.unique(context[known].astype(U) * U(width) + asked[known].astype(U), return_inverse=True)
-    if len(key):
-        at = np.empty(len(key), np.int64)
-        at[back] = np.arange(len(back))
-        got = trie.pairs((key // U(width)).astype(np.int64), (key % U(width)).astype(np.int64), context_count[known][at])
-        p[known], rest[known], shard[known], spot[known] = (x[back] for x in got)
-    yield p, rest, shard, spot
+class Grams:
+    """The tokens of some texts by their distinct words and bigrams, the latter in order by shard, context and word."""
+
+    def __init__(self, trie: Trie, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        #: rank: of each token, its word's place in number (-1: unknown) and count.
+        distinct, self.rank = np.unique(tokens, return_inverse=True)
+        self.number, self.count = trie.words(distinct)
+        first = np.cumsum(sizes) - sizes
+        before = np.roll(self.rank, 1)
+        before[first] = n = len(distinct)  # the text's beginning
+        inside = np.ones(len(tokens), bool)
+        inside[first] = False
+        self.later = np.flatnonzero(inside)  # tokens with one before them in their text
+        keys, pair = np.unique(before.astype(U) * U(n + 1) + self.rank.astype(U), return_inverse=True)
+        context, word = (keys // U(n + 1)).astype(np.int64), (keys % U(n + 1)).astype(np.int64)
+        asked = np.where(self.number >= 0, self.number, trie.n_words)  # unknown words stand for no successor
+        self.context, self.word = np.append(self.number, trie.n_words)[context], asked[word]
+        self.context_count = np.append(self.count, trie.n_texts)[context]
+        shard = trie.pair_shard(self.context, self.word, self.context_count)
+        order = np.argsort(shard.astype(np.int16) if trie.shards < 1 << 15 else shard, kind="stable")
+        self.shard, self.context, self.word, self.context_count = shard[order], self.context[order], self.word[order], self.context_count[order]
+        new = np.empty(len(order), np.int64)
+        new[order] = np.arange(len(order))
+        #: pair: of each token, the place of the bigram that ends there.
+        self.pair = new[pair]
+        self.asked = asked
+
+
+def trie_levels(trie: Trie, g: Grams, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """From level 2 on: of each token, which n-gram ends there (-1: none, for the text begins later), then of each n-gram, p, rest of its context, shard and place (-1 if not kept)."""
+    gram, shard = g.pair, g.shard
+    p, rest, spot = trie.pairs(shard, g.context, g.word, g.context_count)
+    yield gram, p, rest, shard, spot
+    width = U(len(g.number) + 1)
     for level in range(3, order + 1):
-        at = followed(spot, sizes)
-        p, rest, shard_, spot_ = np.zeros(n), np.ones(n), np.zeros(n, np.int32), np.full(n, -1, np.int64)
-        shard_[at] = shard[at - 1]
-        p[at], rest[at], spot_[at] = trie.longer(level, shard_[at], spot[at - 1], asked[at])
-        shard, spot = shard_, spot_
-        yield p, rest, shard, spot
+        at = g.later[gram[g.later - 1] >= 0]
+        keys, back = np.unique(gram[at - 1].astype(U) * width + g.rank[at].astype(U), return_inverse=True)
+        gram = np.full(len(gram), -1, np.int64)
+        gram[at] = back
+        above = (keys // width).astype(np.int64)
+        context, word, shard = spot[above], g.asked[(keys % width).astype(np.int64)], shard[above]
+        p, rest, spot = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), -1, np.int64)
+        kept = np.flatnonzero(context >= 0)
+        p[kept], rest[kept], spot[kept] = trie.longer(level, shard[kept], context[kept], word[kept])
+        yield gram, p, rest, shard, spot
 
 
 def trie_counts(trie: Trie, numbers: np.ndarray) -> np.ndarray:
@@ -598,9 +731,8 @@ def trie_counts(trie: Trie, numbers: np.ndarray) -> np.ndarray:
     shard = np.searchsorted(trie.offsets, numbers, "right") - 1
     for s in np.unique(shard[numbers < trie.n_words]).tolist():
         mine = np.flatnonzero((shard == s) & (numbers < trie.n_words))
-        sums = EliasFano.of(trie._file(f"words-{s:06d}"), "sums")
-        at = numbers[mine] - trie.offsets[s]
-        out[mine] = sums.get(at).astype(np.int64) - np.where(at > 0, sums.get(np.maximum(at - 1, 0)).astype(np.int64), 0)
+        before, upto = EliasFano.of(trie._file(f"words-{s:06d}"), "sums").get_two(numbers[mine] - trie.offsets[s])
+        out[mine] = (upto - before).astype(np.int64)
     return out
 
 
@@ -611,18 +743,19 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
     n_words = trie.n_words
 
     def scored(ids: pa.Array, tokens: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
-        if n_words:
-            word, context, context_count, counts = trie_numbers(trie, tokens, sizes)
+        if not n_words:  # nothing is known
+            known, p = np.zeros(len(tokens), np.int64), np.full(len(tokens), 1 / total)
+            base = np.log10(p)
         else:
-            word = context = np.full(len(tokens), -1)
-            context_count = counts = np.zeros(len(tokens), np.int64)
-        single = (counts + 1) / total
-        p = single
-        for own, rest, _, _ in trie_levels(trie, word, context, context_count, sizes, trie.order):
-            p = own + rest * p
+            g = Grams(trie, tokens, sizes)
+            own = (g.count + 1) / total
+            known, base, p = (g.count > 0).astype(np.int64)[g.rank], np.log10(own)[g.rank], own[g.rank]
+            for gram, own, rest, _, _ in trie_levels(trie, g, trie.order):
+                at = np.flatnonzero(gram >= 0)
+                p[at] = own[gram[at]] + rest[gram[at]] * p[at]
         first = np.cumsum(sizes) - sizes
         add = lambda x: np.add.reduceat(x, first)
-        columns = [ids, pa.array(sizes), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(np.log10(single))), pa.array(add(np.log10(p)))]
+        columns = [ids, pa.array(sizes), pa.array(add(known)), pa.array(add(base)), pa.array(add(np.log10(p)))]
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
